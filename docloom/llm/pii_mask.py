@@ -30,7 +30,7 @@ ROUNDS = 8
 KINDS = ("email", "date", "ssn", "phone", "ip", "card")
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}" + _END,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}" + _END,
     "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END,
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])\+1 \(\d{3}\) \d{3}-\d{4}" + _END,
@@ -41,13 +41,13 @@ ANY = "|".join(PATTERNS[k] for k in KINDS)
 _DAYS, _FIRST_DAY = (189, 773), "1800-01-01"
 
 
-def _keyed(key: str, tweak: str, n: Column, half: Column) -> Column:
+def _keyed(key: str, tweak: Column, n: Column, half: Column) -> Column:
     """A number below 2^52 from the key, the kind, the round and a half."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), n.cast("string"), half.cast("string")).cast("binary"), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, n.cast("string"), half.cast("string")).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def feistel(value: Column, a: Column, b: Column, key: str, tweak: str, back: bool = False) -> Column:
+def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column, back: bool = False) -> Column:
     """A permutation of 0 .. a * b - 1. Even rounds change the left half (modulo a), odd ones the right (modulo b)."""
     sign = -1 if back else 1
     order = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
@@ -60,87 +60,136 @@ def feistel(value: Column, a: Column, b: Column, key: str, tweak: str, back: boo
             F.when(even, s["r"]).otherwise(F.pmod(s["r"] + sign * (f % b), b)).alias("r"),
         )
 
-    first = F.struct(F.floor(value / b).cast("long").alias("l"), (value % b).cast("long").alias("r"))
+    first = F.struct(F.floor(_div(value, b)).alias("l"), (value % b).alias("r"))
     return F.aggregate(order, first, step, lambda s: s["l"] * b + s["r"])
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole-number division of non-negative longs."""
+    return F.call_function("div", a, b)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
 def _pour(digits: Column, shape: Column) -> Column:
     """Digits in the places of shape's digits."""
-    chars = F.split(shape, "")
 
     def step(s: Column, c: Column) -> Column:
         is_digit = c.between("0", "9")
         return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), (s["at"] + F.when(is_digit, 1).otherwise(0)).alias("at"))
 
-    return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of digits with the last one counted once."""
-    places = F.reverse(F.split(digits, ""))
-    doubled = F.transform(places, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    doubled = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def _powers(n: Column) -> Column:
-    return F.get(F.array(*[F.lit(10**i).cast("long") for i in range(11)]), n)
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+# Of each kind: the value behind a match (null where validation fails), the sizes of its halves, and the text of a value.
 
 
-def _card(x: Column, key: str, back: bool) -> Column:
+def _card_value(x: Column) -> tuple[Column, Column, Column]:
     digits = _digits(x)
     n = F.length(digits) - 1
-    body = F.substring(digits, F.lit(1), n).cast("long")
-    new = F.lpad(feistel(body, _powers(F.floor(n / 2).cast("int")), _powers((n - F.floor(n / 2)).cast("int")), key, "card", back).cast("string"), n, F.lit("0"))
-    check = F.pmod(-_luhn(F.concat(new, F.lit("0"))), F.lit(10))
-    return F.when(_luhn(digits) % 10 == 0, _pour(F.concat(new, check.cast("string")), x))
+    powers = F.array(*[_long(10**i) for i in range(11)])
+    return F.when(_luhn(digits) % 10 == 0, F.substring(digits, F.lit(1), n).cast("long")), F.get(powers, F.floor(n / 2).cast("int")), F.get(powers, (n - F.floor(n / 2)).cast("int"))
 
 
-def _date(x: Column, key: str, back: bool) -> Column:
+def _card_text(v: Column, x: Column) -> Column:
+    body = F.lpad(v.cast("string"), F.length(_digits(x)) - 1, F.lit("0"))
+    check = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10))
+    return _pour(F.concat(body, check.cast("string")), x)
+
+
+def _date_value(x: Column) -> tuple[Column, Column, Column]:
     iso = F.when(F.substring(x, 5, 1) == "-", x).otherwise(F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 4, 2), F.substring(x, 1, 2)))
-    day = F.try_to_date(iso, F.lit("yyyy-MM-dd"))
-    since = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-    a, b = (F.lit(n).cast("long") for n in _DAYS)
-    new = F.date_add(F.lit(_FIRST_DAY).cast("date"), feistel(since, a, b, key, "date", back).cast("int"))
-    shaped = F.when(F.substring(x, 5, 1) == "-", F.date_format(new, "yyyy-MM-dd")).when(F.substring(x, 3, 1) == "/", F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    return F.when(since.between(0, _DAYS[0] * _DAYS[1] - 1), shaped)
+    since = F.datediff(F.call_function("try_to_date", iso, F.lit("yyyy-MM-dd")), F.lit(_FIRST_DAY).cast("date")).cast("long")
+    return F.when(since.between(0, _DAYS[0] * _DAYS[1] - 1), since), _long(_DAYS[0]), _long(_DAYS[1])
+
 
+def _date_text(v: Column, x: Column) -> Column:
+    day = F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int"))
+    return F.when(F.substring(x, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd")).when(F.substring(x, 3, 1) == "/", F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
 
-def _ssn(x: Column, key: str, back: bool) -> Column:
+
+def _ssn_value(x: Column) -> tuple[Column, Column, Column]:
     area, group, serial = (F.substring(x, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    a, b = F.lit(898).cast("long"), F.lit(99 * 9999).cast("long")
-    value = (area - F.when(area > 666, 2).otherwise(1)) * b + (group - 1) * 9999 + serial - 1
-    new = feistel(value, a, b, key, "ssn", back)
-    low = F.floor(new / b).cast("long") + 1
-    rest = new % b
-    parts = (low + F.when(low >= 666, 1).otherwise(0), F.floor(rest / 9999).cast("long") + 1, rest % 9999 + 1)
-    return F.when(valid, F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)]))
+    b = _long(99 * 9999)
+    return F.when(valid, (area - F.when(area > 666, 2).otherwise(1)) * b + (group - 1) * 9999 + serial - 1), _long(898), b
+
+
+def _ssn_text(v: Column, x: Column) -> Column:
+    b = _long(99 * 9999)
+    low, rest = _div(v, b) + 1, v % b
+    parts = low + F.when(low >= 666, 1).otherwise(0), _div(rest, _long(9999)) + 1, rest % 9999 + 1
+    return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)])
 
 
-def _phone(x: Column, key: str, back: bool) -> Column:
-    half = F.lit(10**5).cast("long")
-    new = F.lpad(feistel(F.substring(_digits(x), 2, 10).cast("long"), half, half, key, "phone", back).cast("string"), 10, "0")
-    return _pour(F.concat(F.lit("1"), new), x)
+def _phone_value(x: Column) -> tuple[Column, Column, Column]:
+    return F.substring(_digits(x), 2, 10).cast("long"), _long(10**5), _long(10**5)
 
 
-def _ip(x: Column, key: str, back: bool) -> Column:
+def _phone_text(v: Column, x: Column) -> Column:
+    return _pour(F.concat(F.lit("1"), F.lpad(v.cast("string"), 10, "0")), x)
+
+
+def _ip_value(x: Column) -> tuple[Column, Column, Column]:
     parts = F.transform(F.split(x, r"\."), lambda p: p.cast("long"))
-    half = F.lit(1 << 16).cast("long")
-    new = feistel(F.aggregate(parts, F.expr("0L"), lambda a, p: a * 256 + p), half, half, key, "ip", back)
-    return F.when(F.forall(parts, lambda p: p < 256), F.concat_ws(".", *[(F.shiftright(new, s) % 256).cast("string") for s in (24, 16, 8, 0)]))
+    return F.when(F.forall(parts, lambda p: p < 256), F.aggregate(parts, _long(0), lambda a, p: a * 256 + p)), _long(1 << 16), _long(1 << 16)
+
 
+def _ip_text(v: Column, x: Column) -> Column:
+    return F.concat_ws(".", *[(F.shiftright(v, s) % 256).cast("string") for s in (24, 16, 8, 0)])
 
-def _email(x: Column, key: str, back: bool) -> Column:
-    if back:
-        return F.lit(None).cast("string")
-    return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)).cast("binary"), 256), 1, 16), F.lit("@mail.invalid"))
 
+_VALUES = {"date": _date_value, "ssn": _ssn_value, "phone": _phone_value, "ip": _ip_value, "card": _card_value}
+_TEXTS = {"date": _date_text, "ssn": _ssn_text, "phone": _phone_text, "ip": _ip_text, "card": _card_text}
 
-_MAKERS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
+
+def _by_kind(kind: Column, makers: dict) -> Column:
+    out = None
+    for k, made in makers.items():
+        out = F.when(kind == k, made) if out is None else out.when(kind == k, made)
+    return out
+
+
+def _kind_of(x: Column) -> Column:
+    out = None
+    for k in KINDS:
+        test = F.rlike(x, F.lit(f"^(?:{PATTERNS[k]})$"))
+        out = F.when(test, F.lit(k)) if out is None else out.when(test, F.lit(k))
+    return out
+
+
+def pseudonyms(key: str, unmask: bool) -> list:
+    """Functions from an array of matches, one step at a time, to an array of old, kind and new (null: left as it is)."""
+
+    def named(x: Column) -> Column:
+        return F.struct(x.alias("old"), _kind_of(x).alias("kind"))
+
+    def valued(x: Column) -> Column:
+        found = {k: _VALUES[k](x["old"]) for k in _VALUES}
+        fields = [_by_kind(x["kind"], {k: v[i] for k, v in found.items()}).alias(name) for i, name in enumerate(("value", "a", "b"))]
+        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), *fields)
+
+    def permuted(x: Column) -> Column:
+        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), F.when(x["value"].isNotNull(), feistel(x["value"], x["a"], x["b"], key, x["kind"], unmask)).alias("value"))
+
+    def written(x: Column) -> Column:
+        mail = F.lit(None).cast("string") if unmask else F.concat(F.lit("user-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x["old"])).cast("binary"), 256), 1, 16), F.lit("@mail.invalid"))
+        new = F.when(x["kind"] == "email", mail).when(x["value"].isNotNull(), _by_kind(x["kind"], {k: f(x["value"], x["old"]) for k, f in _TEXTS.items()}))
+        return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), new.alias("new"))
+
+    return [named, valued, permuted, written]
 
 
 def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
@@ -150,28 +199,22 @@ def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     rows = rows.withColumn("_found", F.when(F.rlike("_text", F.lit(ANY)), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))))
 
-    def one(x: Column) -> Column:
-        kind = new = None
-        for k in KINDS:
-            test = F.rlike(x, F.lit(f"^(?:{PATTERNS[k]})$"))
-            kind = F.when(test, F.lit(k)) if kind is None else kind.when(test, F.lit(k))
-            made = _MAKERS[k](x, key, unmask)
-            new = F.when(test, made) if new is None else new.when(test, made)
-        return F.struct(x.alias("old"), kind.alias("kind"), new.alias("new"))
-
-    rows = rows.withColumn("_new", F.transform("_found", one)).withColumn("_between", F.when(F.col("_found").isNotNull(), F.split("_text", ANY, -1)))
+    rows = rows.withColumn("_new", F.col("_found"))
+    for step in pseudonyms(key, unmask):
+        rows = rows.withColumn("_new", F.transform("_new", step))
+    rows = rows.withColumn("_between", F.when(F.col("_found").isNotNull(), F.split("_text", ANY, -1)))
     text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(
         F.array_join(F.flatten(F.zip_with("_between", "_new", lambda b, n: F.array(b, F.coalesce(n["new"], n["old"], F.lit(""))))), "")
     )
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
 
-    def step(a: Column, s: Column) -> Column:
+    def place(a: Column, s: Column) -> Column:
         begin = a["at"] + F.length(s["b"])
         end = begin + F.coalesce(F.length(s["n"]["old"]), F.lit(0))
         own = F.array(F.struct(s["n"]["kind"].alias("kind"), begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(s["n"]["new"].isNotNull(), F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
 
-    spans = F.aggregate(F.zip_with("_between", "_new", lambda b, n: F.struct(b.alias("b"), n.alias("n"))), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+    spans = F.aggregate(F.zip_with("_between", "_new", lambda b, n: F.struct(b.alias("b"), n.alias("n"))), F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda a: a["out"])
     done = rows.select("_row", text.alias("_text"), F.coalesce(spans, none).alias("_pii"))
     kept = [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
     return done.select(*kept, F.col("_pii").alias("pii"))
@@ -179,6 +222,10 @@ def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
 
 def digests(masked: DataFrame) -> DataFrame:
     """doc_id, text (masked), n_pii, one count for each kind, and spans as kind:start:end joined by commas."""
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     spans = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return masked.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *counts, spans.alias("spans"))

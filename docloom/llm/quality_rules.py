@@ -48,7 +48,8 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     # Where each window of words stands, by its hash; a window found twice is next to itself once sorted.
     n = REPEAT_WINDOW
-    windows = F.expr(f"transform(sequence(1, size(_words) - {n - 1}), i -> xxhash64(slice(_words, i, {n})))")
+    # (slice() copies the whole array each time; single elements are read in place.)
+    windows = F.expr(f"transform(sequence(0, size(_words) - {n}), i -> xxhash64({', '.join(f'get(_words, i + {k})' for k in range(n))}))")
     hashes = F.when(F.size("_words") > n, windows).otherwise(F.array().cast("array<bigint>"))
     rows = docs.select(*[F.col(k) for k in keep], text.alias("_text")).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", lines).withColumn("_windows", hashes)
     rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.expr("array_sort(transform(_windows, (h, i) -> struct(h as h, i as i)))")))
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, precision:
     # The bound is taken on ids alone, before any text is read by the statistics.
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(max_rows) if max_rows else known
     joined = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
-    rows = statistics(joined, "doc_id", "_quality").filter(~base_failed()).select("doc_id", "_quality", *[c.alias(k) for k, c in features().items()]).collect()
+    rows = [r for r in statistics(joined, "doc_id", "_quality").select("doc_id", "_quality", base_failed().alias("_failed"), *[c.alias(k) for k, c in features().items()]).collect() if not r._failed]
     rows.sort(key=lambda r: (r.doc_id * 2654435761 & 0xFFFFFFFF, r.doc_id, r._quality))
     if not rows:
         return []
@@ -215,4 +216,7 @@ def digests(judged: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text"))
-    return judge(packed, rules, "_row").filter("kept").select("_row.*")
+    # A row number that the filter reads keeps Catalyst from moving the filter, and copies of all the
+    # statistics' expressions with it, below the steps that compute each of them once.
+    judged = judge(packed, rules, "_row").withColumn("_n", F.monotonically_increasing_id())
+    return judged.filter("kept and _n >= 0").select("_row.*")

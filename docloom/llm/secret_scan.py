@@ -67,6 +67,9 @@ def _all(kind: str, parts: list[Query]) -> Query:
     parts = list(dict.fromkeys(p for p in parts if kind == "or" or p is not True))
     if kind == "or" and True in parts:
         return True
+    if kind == "or":  # what asks for more than another alternative says nothing new
+        asked = [set(p[1]) if isinstance(p, tuple) and p[0] == "and" else {p} for p in parts]
+        parts = [p for p, own in zip(parts, asked, strict=True) if not any(other < own for other in asked)]
     return True if not parts else parts[0] if len(parts) == 1 else (kind, tuple(parts))
 
 
@@ -152,7 +155,11 @@ def build_index(docs: DataFrame, trigrams: set[str], block_docs: int = BLOCK_DOC
 def candidates(index: DataFrame, queries: dict[int, Query]) -> DataFrame:
     """_key, rules: the documents that satisfy the queries, with the numbers of those queries."""
     blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "postings"))).alias("postings"))
-    found = [F.transform(_run(q, F.col("postings")), lambda k, n=n: F.struct(k.alias("key"), F.lit(n).alias("rule"))) for n, q in queries.items()]
+
+    def named(number: int, query: Query) -> Column:
+        return F.transform(_run(query, F.col("postings")), lambda k: F.struct(k.alias("key"), F.lit(number).alias("rule")))
+
+    found = [named(n, q) for n, q in queries.items()]
     rows = blocks.select(F.explode(F.concat(*found)).alias("x")).select(F.col("x.key").alias("_found"), F.col("x.rule").alias("rule"))
     return rows.groupBy("_found").agg(F.collect_set("rule").alias("_rules"))
 
@@ -195,9 +202,12 @@ def _written(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def digests(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    count = {r.kind: F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{r.kind}") for n, r in enumerate(rules) if r in BASE}
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    return found.select(F.col("_row.doc_id").alias("doc_id"), *count.values(), F.sha2(_written(base, rules).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans"), rules).alias("spans"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), *[count(n).alias(f"n_{r.kind}") for n, r in enumerate(BASE)], F.sha2(_written(base, rules).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, placeholder: str = PLACEHOLDER) -> DataFrame:
