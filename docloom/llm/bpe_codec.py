@@ -108,7 +108,7 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, core: int, overlap: i
         "doc_id", "text_key", "copies", "chunk", F.expr(f"substring(text, chunk * {core} + 1, {core + overlap})").alias("body"), (F.col("chunk") == F.col("n") - 1).alias("last")
     )
     # The chunks of one text are dealt to different tasks; each text is then brought together in order.
-    cut = chunks.repartition("doc_id", "text_key", "chunk").mapInArrow(by_slices(pretokenise, chunk_schema), "doc_id long, text_key string, copies long, chunk int, core string, extra string, head array<int>, tail array<int>")
+    cut = chunks.repartition("doc_id", "text_key", "chunk").mapInArrow(by_slices(pretokenise, chunk_schema, text=4), "doc_id long, text_key string, copies long, chunk int, core string, extra string, head array<int>, tail array<int>")
     order = Window.partitionBy("doc_id", "text_key").orderBy("chunk")
     joined = cut.withColumn("stitch", F.array_min(F.array_intersect("tail", F.lead("head").over(order))))
     joined = joined.withColumn("begin", F.lag("stitch").over(order)).withColumn("piece", F.count("stitch").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -129,8 +129,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         spell = _token_bytes(path).__getitem__
         for batch in batches:
-            content = [b"".join(map(spell, ids or ())) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(schema.field(1).type), pa.array(content, pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                content = [b"".join(map(spell, ids or ())) for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(schema.field(1).type), pa.array(content, pa.binary())], schema=schema)
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, content binary")
 

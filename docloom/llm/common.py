@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a slice in which Python code works through an Arrow batch; bounds what it holds besides the batch.
-SLICE_ROWS = 512
+#: Rows and bytes of a slice in which Python code works through an Arrow batch; they bound what it holds besides the batch.
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,13 +62,23 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def by_slices(work: Callable[[list[list]], dict[str, pa.Array | list]], schema: pa.Schema) -> Callable:
-    """A mapInArrow function: work gets the columns of a slice as Python lists and returns the output columns."""
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and bytes of a text or binary column; a single row may be larger."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + SLICE_ROWS, max(at + 1, int(ends.searchsorted(before + SLICE_BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def by_slices(work: Callable[[list[list]], dict[str, pa.Array | list]], schema: pa.Schema, text: int = -1) -> Callable:
+    """A mapInArrow function: work gets the columns of a slice as Python lists and returns the output columns. text: the column that counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, text % batch.num_columns):
                 out = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in schema], schema=schema)
 

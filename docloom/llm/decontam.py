@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, stored, text_of
+from .common import slices, stored, text_of
 
 WINDOW = 13
 K = 5
@@ -168,8 +168,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) ->
     def run(batches):
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 1):
                 n_words, found = [], []
                 for text in part.column(1).to_pylist():
                     words = word_hashes(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, text_of
+from .common import slices, text_of
 
 FOLDS = 5
 BUCKETS = 1 << 20
@@ -175,8 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.score(t) for t in part.column(2).to_pylist()], pa.float64())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of())
