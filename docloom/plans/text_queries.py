@@ -268,3 +268,14 @@ def w13(read):
     """Recency: the nearest user turn before each turn."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return read("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w).cast("long").alias("last_user_turn"))
+
+
+@query("source_profile", f"""
+WITH h AS (SELECT doc_id, ('0x' || substr(md5(token), 17, 16))::UBIGINT AS h FROM {OCC}), b AS (SELECT doc_id, i, sum(((h >> i) & 1)::INT) AS ones, count(*) AS n FROM h, range(64) r(i) GROUP BY 1, 2),
+f AS (SELECT doc_id, sum(CASE WHEN 2 * ones >= n THEN (1::HUGEINT << i::HUGEINT) ELSE 0 END) AS f FROM b GROUP BY 1)
+SELECT source, count(*) AS docs, sum(len({TOK}))::BIGINT AS tokens, count(DISTINCT coalesce(f, 0)) AS fingerprints FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1""")
+def source_profile(read):
+    """Documents, tokens and distinct fingerprints of each source."""
+    prints = S.simhash(read("documents"))
+    d = read("documents").select("doc_id", "source", F.size(T.tokens(F.col("text"))).alias("n")).join(prints, "doc_id")
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.countDistinct("simhash").alias("fingerprints"))
