@@ -115,7 +115,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     order = F.xxhash64("doc_id")
     toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE).select(F.col("doc_id").alias("_id"))
     texts = docs.select("doc_id", text_of().alias("text"))
-    positive = texts.join(toxic, F.col("doc_id") == F.col("_id")).select("text", F.lit(True).alias("positive"))
+    # At most MAX_POSITIVE ids: broadcast, so that no text is shuffled.
+    positive = texts.join(F.broadcast(toxic), F.col("doc_id") == F.col("_id")).select("text", F.lit(True).alias("positive"))
     n = max(1, docs.count())
     share = min(1.0, MAX_UNLABELLED / (n * (1 - 1 / FOLDS)))
     rest = texts.filter(~held_out()).filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000))
