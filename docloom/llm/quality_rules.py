@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, precision:
     known = labels.filter("quality is not null").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality"))
     # The bound is taken on ids alone, before any text is read by the statistics.
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(max_rows) if max_rows else known
-    joined = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
+    # At most max_rows labels: broadcast, so that no text is shuffled.
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen) if max_rows else chosen, F.col("doc_id") == F.col("_id"))
     rows = [r for r in statistics(joined, "doc_id", "_quality").select("doc_id", "_quality", base_failed().alias("_failed"), *[c.alias(k) for k, c in features().items()]).collect() if not r._failed]
     rows.sort(key=lambda r: (r.doc_id * 2654435761 & 0xFFFFFFFF, r.doc_id, r._quality))
     if not rows:
