@@ -57,7 +57,8 @@ def simhash(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     ones = F.aggregate("h", F.array_repeat(F.lit(0), 64), lambda a, x: F.transform(a, lambda c, i: c + F.call_function("getbit", x, i)))
     rows = rows.select(key, F.size("h").alias("n"), ones.alias("ones"))
     word = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when((F.col("n") > 0) & (2 * F.get(F.col("ones"), i) >= F.col("n")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    return rows.select(key, F.lower(F.lpad(F.hex(word), 16, "0")).alias("simhash"))
+    # As a generator's output, so that no filter is moved, with copies of the whole expression, below the counters.
+    return rows.select(key, F.inline(F.array(F.struct(F.lower(F.lpad(F.hex(word), 16, "0")).alias("simhash")))))
 
 
 def compression_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -157,7 +157,7 @@ def g16(read):
 @query("g18_cone", f"""
 WITH RECURSIVE e AS MATERIALIZED (SELECT child AS src, parent AS dst, CASE WHEN child % 4 = 0 THEN 'skip' ELSE 'next' END AS type FROM {H} WHERE child <> parent),
 r(node) AS (SELECT 700::BIGINT UNION SELECT 701 UNION SELECT dst FROM r JOIN e ON src = node WHERE type = 'next')
-SELECT (SELECT count(*) FROM r) AS visited, round(count(*) FILTER (WHERE type = 'next') / count(*)::DOUBLE, 6) AS selectivity, round(count(*) FILTER (WHERE type <> 'next') / count(*)::DOUBLE, 6) AS leakage FROM e WHERE src IN (SELECT node FROM r)""")
+SELECT (SELECT count(*) FROM r) AS visited, round(count(*) FILTER (WHERE type = 'next') / greatest(1, count(*))::DOUBLE, 6) AS selectivity, round(count(*) FILTER (WHERE type <> 'next') / greatest(1, count(*))::DOUBLE, 6) AS leakage FROM e WHERE src IN (SELECT node FROM r)""")
 def g18(read):
     e = hierarchy(read).filter("child <> parent").select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.when(F.col("child") % 4 == 0, "skip").otherwise("next").alias("type"))
     return G.cone(e, seeds(read, 700, 701), ["next"])
