@@ -351,19 +351,20 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int =
 def first_of_class(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of docs for each class, with all its columns: that of the smallest doc_id (nulls last, then by a hash of the text)."""
     found = stored(classes(docs, shingle_words, distance).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "class-members")
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
-    first = found.groupBy("root").agg(F.min(who).alias("first"))
-    marked = found.withColumn("who", who).join(first, "root").select("doc_id", "text_key", "n", (F.col("who") == F.col("first")).alias("is_first"))
-    marked = stored(marked.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n", "is_first"), "class-verdicts")
-    gone = marked.filter("not is_first").select("_id", "_key")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "n")
+    # The smallest of each class is combined before the shuffle; the others are then told by their own keys,
+    # so a class of any size is never brought together.
+    first = found.groupBy("root").agg(F.min(who).alias("w"))
+    first = stored(first.select(F.col("w.id").alias("_id"), F.col("w.key").alias("_key"), F.col("w.n").alias("_n")), "class-firsts")
+    is_first = found["doc_id"].eqNullSafe(first["_id"]) & (found["text_key"] == first["_key"])
+    gone = stored(found.join(first, is_first, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "class-gone")
 
     def same(other: DataFrame):
         return docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == other["_key"])
 
     # Only what goes is joined, as a table of measured size.
-    gone = stored(gone, "class-gone")
-    again = marked.filter("is_first and n > 1").select("_id", "_key")
     out = docs.join(gone, same(gone), "left_anti")
+    again = first.filter("_n > 1").select("_id", "_key")
     if again.isEmpty():
         return out
     again = stored(again, "class-repeats")
