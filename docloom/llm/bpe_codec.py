@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_slices, text_of, vocabulary
+from .common import bounded_batches, by_slices, text_of, vocabulary
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
@@ -81,7 +81,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         pattern = public_tokenizers.PATTERN
     path = path or vocabulary("byte_bpe_50k.tiktoken")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     short = rows.filter(F.length("text") <= chunk_chars)
     long = rows.filter(F.length("text") > chunk_chars)
     key = pa.schema([("doc_id", pa.int64())])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_of
+from .common import bounded_batches, slices, stored, text_of
 
 WINDOW = 13
 K = 5
@@ -48,7 +48,7 @@ class Words(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word, 7)
-        if len(self) < 500_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -177,7 +177,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) ->
                 yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(found)), pa.int64()), part.column(0), part.column(2), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(_SPAN_TYPE))], schema=schema)
                 row += len(found)
 
-    base = stored(docs.select(F.col("doc_id").cast("long"), text_of(), F.xxhash64(text_of())).mapInArrow(run, f"row long, doc_id long, text_key long, n_words long, spans array<{_SPAN}>"), "document-windows")
+    base = stored(bounded_batches(docs).select(F.col("doc_id").cast("long"), text_of(), F.xxhash64(text_of())).mapInArrow(run, f"row long, doc_id long, text_key long, n_words long, spans array<{_SPAN}>"), "document-windows")
     return base, lines
 
 

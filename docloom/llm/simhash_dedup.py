@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, discard, stored, text_of
+from .common import bounded_batches, by_slices, discard, stored, text_of
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
         fp = np.array([fingerprint(t, shingle_words) for t in columns[2]], np.uint64)
         return {"doc_id": columns[0], "text_key": columns[1], "fp": pa.array(fp.view(np.int64))}
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()), text_of()).mapInArrow(by_slices(work, schema), "doc_id long, text_key long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64(text_of()), text_of()).mapInArrow(by_slices(work, schema), "doc_id long, text_key long, fp long")
 
 
 class CoveringCode:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_slices, text_of, vocabulary
+from .common import bounded_batches, by_slices, text_of, vocabulary
 
 MARK = "▁"
 TOKEN_LIMIT = 4096
@@ -119,5 +119,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
         n = [own.count(t) for t in text]
         return {"doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.octet_length(text_of()).cast("long").alias("n_bytes"), text_of().alias("text"))
     return rows.mapInArrow(by_slices(work, schema), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

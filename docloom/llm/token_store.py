@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_of, vocabulary
+from .common import bounded_batches, slices, text_of, vocabulary
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
@@ -186,7 +186,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, block_tokens: in
         if parts:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     dealt = rows.repartitionByRange(partitions, F.asc_nulls_first("doc_id")) if partitions else rows.repartitionByRange(F.asc_nulls_first("doc_id"))
     dealt = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     dealt.mapInArrow(blocks, _BLOCK).write.parquet(where)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import bounded_batches, slices, text_of
 
 FOLDS = 5
 BUCKETS = 1 << 20
@@ -124,7 +124,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
-    rows, prior = _sample(docs, labels)
+    rows, prior = _sample(bounded_batches(docs), labels)
 
     def count(batches):
         own, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
@@ -179,5 +179,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.score(t) for t in part.column(2).to_pylist()], pa.float64())], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of())
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of())
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
