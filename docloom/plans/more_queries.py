@@ -175,3 +175,90 @@ def v1(read):
     o = V.validity(read("orders"), ["o_custkey"], "o_orderdate", ["o_orderkey"])
     o = o.withColumn("recorded_from", F.col("valid_from") + F.expr("interval 30 days")).withColumn("recorded_to", F.lit(None).cast("timestamp_ntz"))
     return V.as_at(o, "1998-06-01", "1998-06-15").select("o_orderkey")
+
+
+@query("t17_page_sentences", r"""
+WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS page, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+n AS (SELECT *, regexp_matches(page, '[.!?]\s*$') AS ends FROM s WHERE page <> '')
+SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE NOT ends) AS open_pages, count(*) FILTER (WHERE NOT coalesce(prev, true)) AS continued FROM (SELECT *, lag(ends) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM n) GROUP BY 1""")
+def t17(read):
+    """Whether a sentence goes on over a page boundary, by punctuation; a line stands for a page."""
+    lines = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "page")).filter("page <> ''").withColumn("ends", F.rlike("page", F.lit(r"[.!?]\s*$")))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    lines = lines.withColumn("prev", F.lag("ends").over(w))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(~F.col("ends")).alias("open_pages"), F.count_if(~F.coalesce("prev", F.lit(True))).alias("continued"))
+
+
+@query("t20_symbol_cues", """
+WITH e AS (SELECT user_id, event_id, event_type AS a, lead(event_type) OVER w AS b, lead(event_type, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), q(cue, x, y, z) AS (VALUES (1, 'view', 'click', 'purchase'), (2, 'signup', 'view', 'view'), (3, 'error', 'error', 'error'))
+SELECT cue, count(*) AS hits, count(DISTINCT user_id) AS users FROM e JOIN q ON a = x AND b = y AND c = z GROUP BY 1""")
+def t20(read):
+    """Cues over sequences of symbols: consecutive symbols are joined with the cues as one key."""
+    cues = read("events").sparkSession.createDataFrame([(1, "view", "click", "purchase"), (2, "signup", "view", "view"), (3, "error", "error", "error")], "cue int, a string, b string, c string")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read("events").select("user_id", F.col("event_type").alias("a"), F.lead("event_type").over(w).alias("b"), F.lead("event_type", 2).over(w).alias("c"))
+    return e.join(F.broadcast(cues), ["a", "b", "c"]).groupBy("cue").agg(F.count("*").alias("hits"), F.countDistinct("user_id").alias("users"))
+
+
+@query("j15_scored_pairs", """
+WITH c AS (SELECT label, list_transform(range(1, 9), lambda i: avg_at[i]) AS m FROM (SELECT label, [avg(embedding[1]), avg(embedding[2]), avg(embedding[3]), avg(embedding[4]), avg(embedding[5]), avg(embedding[6]), avg(embedding[7]), avg(embedding[8])] AS avg_at FROM embeddings GROUP BY 1)),
+s AS (SELECT vec_id, c.label, list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * m[i])) AS s FROM embeddings, c)
+SELECT vec_id, label::BIGINT AS best FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) AS r FROM s) WHERE r = 1""")
+def j15(read):
+    """Each vector with the best of the labels' mean vectors: one row for each label, a dimension, is held as an array by every task."""
+    e = read("embeddings")
+    means = e.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(8)]).alias("m"))
+    centres = means.agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("c"))
+
+    def scored(c):
+        return F.struct((-F.round(F.aggregate(F.zip_with(F.slice("embedding", 1, 8), c["m"], lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y), 9)).alias("s"), c["label"].alias("label"))
+
+    rows = e.crossJoin(F.broadcast(centres))  # one row
+    return rows.select("vec_id", F.array_min(F.transform("c", scored)).alias("b")).select("vec_id", F.col("b.label").cast("long").alias("best"))
+
+
+@query("g14_levels", "WITH RECURSIVE h AS (SELECT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), l(node, top, d) AS (SELECT child, parent, 1 FROM h UNION ALL SELECT l.node, h.parent, d + 1 FROM l JOIN h ON h.child = l.top) SELECT top AS node, d AS depth, count(*) AS below FROM l GROUP BY 1, 2")
+def g14(read):
+    """How many nodes lie below each node at each depth."""
+    from ..operators.graph import ancestor_distance
+
+    d = ancestor_distance(read("part").filter("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 3").alias("parent")))
+    return d.filter("dist > 0").groupBy(F.col("ancestor").alias("node"), F.col("dist").alias("depth")).agg(F.count("*").alias("below"))
+
+
+@query("m9_delta_codec", "SELECT user_id, count(*) AS n, sum(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 ELSE 4 END)::BIGINT AS bytes FROM (SELECT user_id, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS d FROM events) GROUP BY 1")
+def m9(read):
+    """Bytes of each user's event ids as varint deltas of seven bits a byte."""
+    d = F.col("event_id") - F.coalesce(F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")), F.lit(0))
+    size = F.when(F.col("d") < 128, 1).when(F.col("d") < 16384, 2).when(F.col("d") < 2097152, 3).otherwise(4)
+    return read("events").select("user_id", d.alias("d")).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+
+
+@query("s9_message_import", r"""
+WITH l AS (SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':05] ' || role || ': ' || left(text, 20) AS line FROM conversations)
+SELECT conv_id, turn::BIGINT AS turn, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 1) AS clock, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 2) AS sender, length(regexp_replace(line, '^\[\d\d:\d\d\] \w+: ', ''))::BIGINT AS chars FROM l""")
+def s9(read):
+    """An exported chat's lines into clock, sender and text."""
+    line = F.concat(F.lit("["), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":05] "), F.col("role"), F.lit(": "), F.expr("left(text, 20)"))
+    head = r"^\[(\d\d:\d\d)\] (\w+): "
+    rows = read("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), line.alias("line"))
+    return rows.select("conv_id", "turn", F.regexp_extract("line", head, 1).alias("clock"), F.regexp_extract("line", head, 2).alias("sender"), F.length(F.regexp_replace("line", head, "")).cast("long").alias("chars"))
+
+
+@query("x1_sql_surface", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY 1, 2")
+def x1(read):
+    """The same tables by SQL text."""
+    return read("lineitem").sparkSession.sql(
+        "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {t} WHERE l_shipdate <= timestamp_ntz'2000-09-02' GROUP BY 1, 2", t=read("lineitem")
+    )
+
+
+@query("x3_adapter_registry", "SELECT 'document' AS lane, count(*) AS n FROM documents UNION ALL SELECT 'page', count(*) FROM pages UNION ALL SELECT 'item', count(*) FROM benchmark")
+def x3(read):
+    """Lanes by name, each a function of the table reader."""
+    lanes = {"document": lambda: read("documents").select("doc_id"), "page": lambda: read("pages").select("page_id"), "item": lambda: read("benchmark").select("item_id")}
+    out = None
+    for name, lane in lanes.items():
+        rows = lane().agg(F.count("*").alias("n")).select(F.lit(name).alias("lane"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
