@@ -11,7 +11,7 @@ document's offset from the samples, without a table of 64-bit offsets.
 A block ends after ``block_tokens`` ids, at the end of a document; one document is never split.
 
 Defined results: a null or empty text is one end id; repeated rows are stored as often as they come;
-an empty table makes no block and reads back as no rows; special strings inside a text are encoded as
+an empty table makes no block and reads back as no rows; other columns aren't read; special strings inside a text are encoded as
 the tokenizers library does by default.
 """
 

@@ -9,7 +9,7 @@ the host is lower case, tracking parameters are dropped and the others sorted.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no canonical form and
 is allowed; repeated pages come out once each; repeated, null or odd list entries are ignored or count
-once; an empty list lists nothing.
+once; an empty list lists nothing; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
