@@ -10,9 +10,9 @@ within covering radius plus threshold; so of two linked fingerprints one finds t
 home. (Anchors on all 64 bits at once would need balls of thousands of anchors for cells this small.)
 
 A cell (one anchor) of up to ``cell_rows`` fingerprints is compared by one task, a bounded block at a
-time, and gives a spanning forest of its links, never all pairs. A larger cell is dealt out again by
-the anchors of its other blocks (the rest of the bits are within t, so one of the two other blocks is
-within t div 2). Cells that are still larger are dense clusters: there, fingerprints are joined
+time, and gives a spanning forest of its links, never all pairs. A larger cell is dealt out again: the
+bits outside its block are within t, so of t + 1 parts of them one is equal, and the words of a part
+are its anchors. Cells that are still larger are dense clusters: there, fingerprints are joined
 through every point within t div 2 of them; two of them share a point exactly if they are within
 2 * (t div 2) bits (t even), each point has a bounded number of fingerprints around it, and a
 fingerprint makes a bounded number of rows. Nothing is capped or dropped at any level.
@@ -21,7 +21,7 @@ Classes. Links meet in rounds of large-star and small-star steps on tables in th
 component is ever gathered in one task or on the driver.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated
-rows come out once each; a null doc_id is never the smallest of a class, and a class of nulls only
+rows come out once each; columns but doc_id and text aren't read, whatever their names; a null doc_id is never the smallest of a class, and a class of nulls only
 has a null component_id; an empty table gives no rows.
 """
 
@@ -43,8 +43,8 @@ SEED = 42
 #: First bit and bits of each block.
 BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints of a cell that one task compares by itself.
-CELL_ROWS = 4096
-TILE = 512
+CELL_ROWS = 16_384
+TILE = 128
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -155,55 +155,45 @@ def _cut(fp: np.ndarray, block: int) -> np.ndarray:
     return (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << n) - 1)
 
 
-_CELL_SCHEMA = pa.schema([("cell", pa.int64()), ("blocks", pa.int32()), ("fp", pa.int64()), ("home", pa.bool_())])
-_CELL = "cell long, blocks int, fp long, home boolean"
+_CELL_SCHEMA = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+_CELL = "cell long, fp long, home boolean"
 
 
-def _deal(cell: np.ndarray, blocks: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int):
-    """The rows of a deeper level. Within a cell, the blocks not yet used hold one within distance div their number."""
+def _deal(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, level: int, distance: int):
+    """Rows (cell, level, fp, home) of a level. Its cells' numbers say which block or part they are of.
+
+    0: the anchors of each block. 1: within a cell, the bits of the other blocks fall into distance + 1
+    parts, one of which is equal; its code is the trivial one, every word an anchor of radius 0."""
+    if level == 0:
+        for block in range(len(BLOCKS)):
+            code, words = codes()[block], _cut(fp, block)
+            index, anchor = code.anchors(words, code.radius + distance // len(BLOCKS))
+            yield anchor << 2 | block, fp[index], (anchor == code.home(words)[index]) & home[index]
+        return
     for block in range(len(BLOCKS)):
-        free = np.flatnonzero((blocks >> block & 1) == 0)
-        if not len(free):
-            continue
-        left = 3 - np.array([int(b).bit_count() for b in range(8)])[blocks[free]]
-        for n_left in np.unique(left):
-            rows = free[left == n_left]
-            code, words = codes()[block], _cut(fp[rows], block)
-            index, anchor = code.anchors(words, code.radius + distance // int(n_left))
-            at = rows[index]
-            mine = (anchor == code.home(words)[index]) & home[at]
-            yield cell[at] << 25 | block << 23 | anchor, blocks[at] | 1 << block, fp[at], mine
-
-
-def _dealer(distance: int):
+        rows = np.flatnonzero((cell & 3) == block)
+        first, n = BLOCKS[block]
+        bits = fp[rows].view(np.uint64)
+        rest = (bits & np.uint64((1 << first) - 1)) | (bits >> np.uint64(first + n) << np.uint64(first) if first + n < 64 else np.uint64(0))
+        size, parts = 64 - n, distance + 1
+        for part in range(parts):
+            low, high = part * size // parts, (part + 1) * size // parts
+            value = (rest >> np.uint64(low) & np.uint64((1 << high - low) - 1)).astype(np.int64)
+            yield (cell[rows] << 4 | part) << 16 | value, fp[rows], home[rows]
+
+
+def _dealer(level: int, distance: int):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                cell, blocks, fp, home = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                for out in _deal(cell, blocks, fp, home.astype(bool), distance):
+                cell, fp, home = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                for out in _deal(cell, fp, home.astype(bool), level, distance):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _CELL_SCHEMA, strict=True)], schema=_CELL_SCHEMA)
 
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
 def forest(home: np.ndarray, all_: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links (member, root) that span what the links of home with all_ (both sorted, distinct) connect.
 
@@ -252,15 +242,14 @@ def _compare(distance: int):
             held.clear()
 
         for batch in batches:
-            cell, blocks, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            key = np.stack([cell, blocks.astype(np.int64)])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            cell, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
             for a, b in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 if a == b:
                     continue
-                if held and last != tuple(key[:, a]):
+                if held and last != cell[a]:
                     done()
-                last = tuple(key[:, a])
+                last = cell[a]
                 held.append((fp[a:b], home[a:b].astype(bool)))
             if len(links) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_EDGE_SCHEMA)
@@ -301,19 +290,19 @@ def links(nodes: DataFrame, distance: int = MAX_DISTANCE, cell_rows: int = CELL_
     if distance % 2:
         raise ValueError("an even number of bits is needed for the points of dense cells")
     found = None
-    level = nodes.select(F.lit(0).cast("long").alias("cell"), F.lit(0).alias("blocks"), "fp", F.lit(True).alias("home"))
-    for depth in range(2):
-        dealt = stored(level.mapInArrow(_dealer(distance), _CELL), f"anchors{depth}")
+    rows = nodes.select(F.lit(0).cast("long").alias("cell"), "fp", F.lit(True).alias("home"))
+    for level in range(2):
+        dealt = stored(rows.mapInArrow(_dealer(level, distance), _CELL), f"anchors{level}")
         # Counts are pre-aggregated; only cells above the bound are carried on.
-        large = stored(dealt.groupBy("cell", "blocks").count().filter(F.col("count") > cell_rows).select("cell", "blocks"), f"large{depth}")
+        large = stored(dealt.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell"), f"large{level}")
         some_large = not large.isEmpty()
-        small = dealt.join(large, ["cell", "blocks"], "left_anti") if some_large else dealt
-        compared = small.select("cell", "blocks", "fp", "home").repartition("cell", "blocks").sortWithinPartitions("cell", "blocks", "fp").mapInArrow(_compare(distance), _EDGE)
+        small = dealt.join(large, "cell", "left_anti") if some_large else dealt
+        compared = small.select("cell", "fp", "home").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_compare(distance), _EDGE)
         found = compared if found is None else found.unionByName(compared)
         if not some_large:
             return found.distinct()
-        level = dealt.join(large, ["cell", "blocks"], "left_semi").select("cell", "blocks", "fp", "home")
-    return found.unionByName(_through_points(level, distance)).distinct()
+        rows = dealt.join(large, "cell", "left_semi").select("cell", "fp", "home")
+    return found.unionByName(_through_points(rows, distance)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -342,8 +331,9 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int =
     prints = stored(fingerprints(docs, shingle_words), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     linked = components(links(nodes.select("fp"), distance, cell_rows))
-    rooted = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = stored(nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    # As a table of its own: Spark can then broadcast it if small, or split a class of very many fingerprints at the join.
+    lowest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     by_fp = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 

@@ -30,7 +30,7 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 40, 3])
+@pytest.mark.parametrize("cell_rows", [16_384, 40, 3])
 def test_links_connect_what_brute_force_connects(spark, cell_rows):
     """Small bounds send cells to the second level of anchors and to the points of dense clusters."""
     r = random.Random(9)
