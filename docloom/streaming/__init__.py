@@ -1 +1 @@
-""""""
+"""Incremental operators on Structured Streaming."""
