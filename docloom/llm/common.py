@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored
+
+__all__ = ["bounded_batches", "by_slices", "discard", "shared_dir", "slices", "stored", "table", "text_of", "vocabulary", "ascii_lower"]
+
 #: Rows and bytes of a slice in which Python code works through an Arrow batch; they bound what it holds besides the batch.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
@@ -26,24 +28,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="docloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts the lineage, survives lost executors,
-    and lets the planner see a measured size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession
