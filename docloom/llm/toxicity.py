@@ -34,7 +34,7 @@ FEATURES = 256
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 #: A word must be in so many positives, and a word's z value must reach so much.
 MIN_POSITIVE, MIN_Z = 8, 6.0
-STEPS, RATE, DECAY = 400, 0.1, 1e-3
+STEPS, RATE, DECAY = 800, 0.1, 4e-5
 SEED = 17
 
 #: Non-letters and non-digits of ASCII to spaces, A-Z to lower case.
@@ -80,13 +80,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias from 0/1 rows, by Adam on the non-negative risk."""
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, n_positive: np.ndarray, n_unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and bias from distinct 0/1 rows and how often each occurs, by Adam on the non-negative risk."""
     n = positive.shape[1]
     theta = np.zeros(n + 1)
     theta[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(np.float64) for x in (positive, unlabelled))
+    wp, wu = n_positive / n_positive.sum(), n_unlabelled / n_unlabelled.sum()
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
@@ -94,9 +95,9 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     for t in range(1, steps + 1):
         zp, zu = p @ theta, u @ theta
         # Logistic loss: of a positive log(1 + e^-z), of a negative log(1 + e^z).
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = sigmoid(zu) @ u / len(u) - prior * (sigmoid(zp) @ p) / len(p)
-        g = g_negative - prior * (sigmoid(-zp) @ p) / len(p) if negative >= 0 else -g_negative
+        negative = wu @ np.logaddexp(0, zu) - prior * (wp @ np.logaddexp(0, zp))
+        g_negative = (wu * sigmoid(zu)) @ u - prior * ((wp * sigmoid(zp)) @ p)
+        g = g_negative - prior * ((wp * sigmoid(-zp)) @ p) if negative >= 0 else -g_negative
         g[:-1] += DECAY * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -159,14 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
 
     # Equal rows are one with a weight, so far fewer than the bound reach the driver.
     packed = rows.mapInArrow(reduce_, "positive boolean, bits binary, n long").groupBy("positive", "bits").agg(F.sum("n").alias("n")).orderBy("positive", "bits").collect()
-    sides = {}
+    sides, often = {}, {}
     for side in (True, False):
         own = [r for r in packed if r.positive is side]
         bits = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8))[: len(buckets)] if len(buckets) else np.zeros(0, np.uint8) for r in own], np.float64).reshape(len(own), len(buckets))
-        sides[side] = np.repeat(bits, [r.n for r in own], axis=0)
+        sides[side], often[side] = bits, np.array([r.n for r in own], np.float64)
     if not len(sides[False]):
-        sides[False] = np.zeros((1, len(buckets)))
-    weights, bias = nnpu(sides[True], sides[False], prior)
+        sides[False], often[False] = np.zeros((1, len(buckets))), np.ones(1)
+    weights, bias = nnpu(sides[True], sides[False], often[True], often[False], prior)
     return Model(buckets, weights, bias)
 
 
