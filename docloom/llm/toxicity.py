@@ -4,7 +4,8 @@ Confirmed toxic texts are positives; other texts of the training fold are unlabe
 over hashed words is trained in numpy on the risk
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss;
 where the corrected part turns negative, the step goes against it, as in non-negative PU learning.
-The class prior is the share of toxic rows among the labelled ones of the training fold.
+The class prior is the share of toxic rows among the labelled ones of the training fold, or, if that is
+smaller, the share of unlabelled texts with one of the strongest words by that of positives.
 
 Labels are read only from the training fold: rows whose crc32 of doc_id as text isn't divisible by
 ``FOLDS``. Inputs of a score are the words of the text alone. What is fitted is bounded: at most
@@ -36,6 +37,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 MIN_POSITIVE, MIN_Z = 8, 6.0
 STEPS, RATE, DECAY = 800, 0.1, 4e-5
 SEED = 17
+#: The words with the largest z values that bound the class prior.
+STRONG = 10
 
 #: Non-letters and non-digits of ASCII to spaces, A-Z to lower case.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -144,9 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
     top = found.filter(f"bucket >= 0 and p >= {MIN_POSITIVE}")
     both = (F.col("p") + F.col("u")) / F.lit(float(total.p + max(1, total.u)))
     z = (F.col("p") / F.lit(float(total.p)) - F.col("u") / F.lit(float(max(1, total.u)))) / F.sqrt(both * (1 - both) * F.lit(1 / total.p + 1 / max(1, total.u)))
-    best = sorted(r.bucket for r in top.withColumn("z", z).filter(f"z >= {MIN_Z}").orderBy(F.desc("z"), "bucket").limit(features).collect())
+    best = [r.bucket for r in top.withColumn("z", z).filter(f"z >= {MIN_Z}").orderBy(F.desc("z"), "bucket").limit(features).collect()]
     found.unpersist()
-    buckets = np.array(best, np.int64)
+    buckets = np.array(sorted(best), np.int64)
+    strong = np.isin(buckets, best[:STRONG])
     schema = pa.schema([("positive", pa.bool_()), ("bits", pa.binary()), ("n", pa.int64())])
 
     def reduce_(batches):
@@ -167,6 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
         sides[side], often[side] = bits, np.array([r.n for r in own], np.float64)
     if not len(sides[False]):
         sides[False], often[False] = np.zeros((1, len(buckets))), np.ones(1)
+    # Unlabelled texts hold at least the prior's share of what positives hold, so the labels' share is
+    # corrected downwards where toxic rows are labelled more often than others.
+    held = {side: float(sides[side][:, strong].any(axis=1) @ often[side] / often[side].sum()) for side in sides}
+    if held[True] > 0:
+        prior = min(prior, max(1e-4, held[False] / held[True]))
     weights, bias = nnpu(sides[True], sides[False], often[True], often[False], prior)
     return Model(buckets, weights, bias)
 
