@@ -107,11 +107,24 @@ def nearest_common(distance: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.join(y, ["b", "ancestor"]).groupBy("a", "b").agg(F.min_by("ancestor", F.struct(F.col("da") + F.col("db"), F.col("ancestor"))).alias("ancestor"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node that it reaches and that reaches it) of edges(src, dst)."""
-    up = closure(edges.select(F.col("src").alias("child"), F.col("dst").alias("parent")))
+def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """node, component (smallest node that it reaches and that reaches it) of edges(src, dst).
+
+    Nodes that nothing enters or leaves are alone in theirs and are trimmed, up to rounds times; the closure is that of the rest."""
+    nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "strong")
+    core = stored(edges.select("src", "dst").filter("src <> dst").distinct(), "strong")
+    n = core.count()
+    for _ in range(rounds):
+        entered, left = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+        core = stored(core.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"), "strong")
+        m = core.count()
+        if m == n:
+            break
+        n = m
+    up = closure(core.select(F.col("src").alias("child"), F.col("dst").alias("parent")))
     back = up.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
-    return up.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("component"))
+    found = up.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def components(edges: DataFrame, limit: int = 64) -> DataFrame:

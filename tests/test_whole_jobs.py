@@ -52,3 +52,51 @@ def test_longest_paths_take_every_part(spark, parts):
         for p in (n // 3, n // 5):
             depth[p] = max(depth[p], depth[n] + 1)
     assert rows(QUERIES["a22_longest_path"](spark, parts)) == sorted(depth.items())
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """600 cheap orders, each of a customer of a smaller or larger number, and one lineitem row of small quantity for each."""
+    sf = str(tmp_path_factory.mktemp("orders"))
+    o = spark.range(600).selectExpr("id as o_orderkey", "(id * id + 7) % 300 as o_custkey", "1000D as o_totalprice")
+    o.write.parquet(f"{sf}/orders.parquet")
+    spark.range(1).withColumnRenamed("id", "p_partkey").write.parquet(f"{sf}/part.parquet")
+    spark.range(600).selectExpr(
+        "id % 40 as l_partkey", "id % 7 as l_suppkey", "timestamp_ntz'1998-01-01' as l_shipdate", "90000D + id as l_extendedprice", "if(id % 2 = 0, 'R', 'N') as l_returnflag", "1D as l_quantity"
+    ).write.parquet(f"{sf}/lineitem.parquet")
+    return sf
+
+
+def test_components_take_every_order(spark, orders):
+    to = {n: (n * n + 7) % 300 for n in range(600)}
+    reach = {}
+    for n in to:
+        reach[n], at = {n}, to[n]
+        while at not in reach[n]:
+            reach[n].add(at)
+            at = to[at]
+    assert rows(QUERIES["g6_strong_components"](spark, orders)) == sorted((n, min(m for m in reach[n] if n in reach[m])) for n in to)
+    low = {n: n for n in to}
+    while True:
+        new = dict(low)
+        for a, b in to.items():
+            new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    assert rows(QUERIES["g7_components"](spark, orders)) == sorted(low.items())
+
+
+def test_edges_take_every_line(spark, orders):
+    lines = [(n % 40, n % 7 + 1000000, 90000 + n, "RN"[n % 2]) for n in range(600)]
+    pairs = {(s, d): [x for x in lines if x[:2] == (s, d)] for s, d, *_ in lines}
+    returned = {k: sum(x[3] == "R" for x in v) for k, v in pairs.items()}
+    assert rows(QUERIES["g1_edge_lookup"](spark, orders)) == sorted((*k, n) for k, n in returned.items() if n)
+    near = {d for s, d in pairs if s == 7} | {7}
+    assert rows(QUERIES["g3_ball"](spark, orders)) == sorted((*k, max(x[2] for x in v)) for k, v in pairs.items() if near & set(k))
+    degree = {}
+    for (s, d), n in returned.items():
+        degree[s], degree[d] = degree.get(s, 0) + n, degree.get(d, 0) + n
+    assert rows(QUERIES["g5_hit_degrees"](spark, orders)) == sorted((k, n) for k, n in degree.items() if n)
+    assert sum(r.edges for r in QUERIES["g22_node_rollup"](spark, orders).collect()) == 600
+    assert QUERIES["g3_induced"](spark, orders).count() == 0
