@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 
@@ -41,3 +44,28 @@ def memory(notes: DataFrame, query_topics: Sequence[str], topics: str = "topics"
     """Notes that share a topic with the query, with the shared ones."""
     asked = F.array(*[F.lit(t) for t in query_topics])
     return notes.filter(F.arrays_overlap(topics, asked)).withColumn("matched", F.array_sort(F.array_intersect(topics, asked)))
+
+
+def best_products(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """query_id, key, dot: for each query the k rows of the largest inner product (ties: the smaller key).
+
+    Keys are whole numbers. Blocks of both sides meet in one matrix product, and only k rows a query leave it."""
+
+    def blocks(df: DataFrame, prefix: str, size: int) -> DataFrame:
+        packed = df.groupBy(F.floor(F.col(key) / size).alias("_b")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("i"), F.col(vector).alias("v"))).alias("_p"))
+        return packed.select(F.col("_p.i").alias(f"{prefix}i"), F.col("_p.v").alias(f"{prefix}v"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for qi, qv, ri, rv in zip(pdf["qi"], pdf["qv"], pdf["ri"], pdf["rv"], strict=True):
+                ids = np.asarray(ri)
+                order = np.argsort(ids)
+                ids, held = ids[order], np.stack(rv).astype("float64")[order]
+                dots = np.stack(qv).astype("float64") @ held.T
+                top = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(qi), top.shape[1]), key: ids[top].ravel(), "dot": np.take_along_axis(dots, top, 1).ravel()})
+
+    pairs = blocks(queries, "q", block * 50).crossJoin(blocks(rows, "r", block))
+    near = pairs.mapInPandas(work, f"query_id long, `{key}` long, dot double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("dot"), key)
+    return near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

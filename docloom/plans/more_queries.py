@@ -97,14 +97,14 @@ def t34(read):
 
 @query("m3_segments")
 def m3(read):
-    e = read("events").filter("user_id < 20").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), (F.col("value") / 50).alias("cost"))
+    e = read("events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), (F.col("value") / 50).alias("cost"))
     return X.best_segments(e, "user_id").withColumn("cost", F.round("cost", 6))
 
 
 @query("v9_proposals")
 def v9(read):
     roles = F.create_map(F.lit("actor"), (F.col("event_id") % 3).cast("string"), F.lit("object"), (F.bround("value", 0).cast("int") % 2).cast("string"))
-    p = read("events").filter("user_id < 40").select(F.col("event_id").alias("proposal_ref"), "user_id", "event_type", roles.alias("roles"))
+    p = read("events").select(F.col("event_id").alias("proposal_ref"), "user_id", "event_type", roles.alias("roles"))
     return X.reduce_proposals(p, ["user_id", "event_type"])
 
 

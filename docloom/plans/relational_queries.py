@@ -205,9 +205,9 @@ WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey % 50 AS g, date
 SELECT p.l_orderkey, p.l_partkey, min_by(bk, (be - bs, bk)) AS bk FROM p JOIN {SPANS.format('b', 1)} b ON b.g = p.g AND bs <= pos AND pos < be GROUP BY 1, 2""")
 def j12(read):
     o = read("orders").select(F.col("o_orderkey"), (F.col("o_custkey") % 50).alias("g"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("b_s"))
-    scopes = o.filter("o_orderkey % 2 = 1").select("g", F.col("o_orderkey").alias("bk"), "b_s", (F.col("b_s") + 1 + F.col("o_orderkey") % 90).alias("b_e"))
-    points = read("lineitem").filter("l_linenumber = 1").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "g"), "l_orderkey").select("l_orderkey", "l_partkey", "g", F.datediff("l_shipdate", F.lit("1990-01-01")).cast("long").alias("at"))
-    return J.smallest_enclosing(points, scopes, ["g"], 90, "at", ["l_orderkey", "l_partkey"], ("b_s", "b_e"), "bk")
+    scopes = o.select("g", F.col("o_orderkey").alias("bk"), "b_s", (F.col("b_s") + 1 + F.col("o_orderkey") % 90).alias("b_e"))
+    points = read("lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "g"), "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "g", F.datediff("l_shipdate", F.lit("1990-01-01")).cast("long").alias("at"))
+    return J.smallest_enclosing(points, scopes, ["g"], 90, "at", ["l_orderkey", "l_linenumber", "l_partkey"], ("b_s", "b_e"), "bk")
 
 
 @query("j13_pairs_within", "SELECT a.p_type AS ta, b.p_type AS tb, count(*) AS n FROM (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey) a JOIN (SELECT DISTINCT l_orderkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey) b ON a.l_orderkey = b.l_orderkey AND a.p_type < b.p_type GROUP BY 1, 2")

@@ -100,3 +100,42 @@ def test_edges_take_every_line(spark, orders):
     assert rows(QUERIES["g5_hit_degrees"](spark, orders)) == sorted((k, n) for k, n in degree.items() if n)
     assert sum(r.edges for r in QUERIES["g22_node_rollup"](spark, orders).collect()) == 600
     assert QUERIES["g3_induced"](spark, orders).count() == 0
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """700 events of 70 users, 60 orders with two lines of one part, and 120 vectors."""
+    sf = str(tmp_path_factory.mktemp("events"))
+    kinds = "element_at(array('view', 'click', 'error'), cast(id % 3 + 1 as int))"
+    spark.range(700).selectExpr("id as event_id", "timestamp_ntz'1998-01-01' as ts", "id % 70 as user_id", f"{kinds} as event_type", "cast(id % 11 as double) as value").write.parquet(f"{sf}/events.parquet")
+    spark.range(60).selectExpr("id * 100 as o_orderkey", "1L as o_custkey", "timestamp_ntz'1998-01-01' as o_orderdate").write.parquet(f"{sf}/orders.parquet")
+    spark.range(120).selectExpr("id div 2 * 100 as l_orderkey", "1L as l_partkey", "cast(id % 2 + 1 as int) as l_linenumber", "timestamp_ntz'1998-01-01' as l_shipdate").write.parquet(f"{sf}/lineitem.parquet")
+    spark.sql("select 1L as p_partkey, 'Brand#1' as p_brand").write.parquet(f"{sf}/part.parquet")
+    spark.range(120).selectExpr("id as vec_id", "transform(sequence(1, 64), i -> cast((id * i) % 17 as float)) as embedding", "cast(id % 3 as int) as label").write.parquet(f"{sf}/embeddings.parquet")
+    return sf
+
+
+def test_no_id_is_left_out(spark, events):
+    assert QUERIES["m3_segments"](spark, events).count() == 70
+    assert {r.user_id for r in QUERIES["v9_proposals"](spark, events).collect()} == set(range(70))
+    assert [(r["count"], r.unit_count) for r in QUERIES["a12_structure_report"](spark, events).collect()] == [(120, 60)]
+    assert QUERIES["dt6_epoch"](spark, events).count() == 700
+    # all scopes begin on one day; the shortest (order keys of 0 and multiples of 900 last a day) of the smallest key is even
+    assert rows(QUERIES["j12_smallest_scope"](spark, events).select("l_orderkey", "l_linenumber", "bk")) == sorted((o * 100, n, 0) for o in range(60) for n in (1, 2))
+
+
+def test_searches_ask_with_every_fiftieth_row(spark, events):
+    sig = {i: (i % 3, i % 3) for i in range(700)}
+    obj = {i: (round(i % 11) % 4 if i % 2 == 0 else None) for i in range(700)}
+    expected = sorted((a, sum(sig[a] == sig[b] and obj[a] in (None, obj[b]) for b in range(700))) for a in range(0, 700, 50))
+    assert rows(QUERIES["v8_prefilter"](spark, events)) == expected
+    v = [[(n * i) % 17 for i in range(1, 65)] for n in range(120)]
+    dots = [(q, sorted((-sum(x * y for x, y in zip(v[q], v[n], strict=True)), n) for n in range(120))[:20]) for q in (0, 50, 100)]
+    assert rows(QUERIES["m11_embedding_scores"](spark, events).select("query_id", "vec_id", "dot")) == sorted((q, n, -d) for q, best in dots for d, n in best)
+
+
+def test_products_are_the_same_in_any_blocks(spark, events):
+    from docloom.operators.search import best_products
+
+    e = spark.read.parquet(f"{events}/embeddings.parquet")
+    assert rows(best_products(e, e, "vec_id", "embedding", 5, block=7)) == rows(best_products(e, e, "vec_id", "embedding", 5))
