@@ -207,11 +207,12 @@ SELECT vec_id, label::BIGINT AS best FROM (SELECT *, row_number() OVER (PARTITIO
 def j15(read):
     """Each vector with the best of the labels' mean vectors: one row for each label, a dimension, is held as an array by every task."""
     e = read("embeddings")
-    means = e.groupBy("label").agg(F.array(*[F.avg(F.col("embedding")[i].cast("double")) for i in range(8)]).alias("m"))
+    parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
     centres = means.agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("c"))
 
     def scored(c):
-        return F.struct((-F.round(F.aggregate(F.zip_with(F.slice("embedding", 1, 8), c["m"], lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y), 9)).alias("s"), c["label"].alias("label"))
+        return F.struct((-F.round(F.aggregate(F.zip_with("embedding", c["m"], lambda a, b: a.cast("double") * b), F.lit(0.0), lambda x, y: x + y), 9)).alias("s"), c["label"].alias("label"))
 
     rows = e.crossJoin(F.broadcast(centres))  # one row
     return rows.select("vec_id", F.array_min(F.transform("c", scored)).alias("b")).select("vec_id", F.col("b.label").cast("long").alias("best"))
@@ -239,7 +240,7 @@ WITH l AS (SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':
 SELECT conv_id, turn::BIGINT AS turn, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 1) AS clock, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 2) AS sender, length(regexp_replace(line, '^\[\d\d:\d\d\] \w+: ', ''))::BIGINT AS chars FROM l""")
 def s9(read):
     """An exported chat's lines into clock, sender and text."""
-    line = F.concat(F.lit("["), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":05] "), F.col("role"), F.lit(": "), F.expr("left(text, 20)"))
+    line = F.concat(F.lit("["), F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":05] "), F.col("role"), F.lit(": "), F.col("text"))
     head = r"^\[(\d\d:\d\d)\] (\w+): "
     rows = read("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), line.alias("line"))
     return rows.select("conv_id", "turn", F.regexp_extract("line", head, 1).alias("clock"), F.regexp_extract("line", head, 2).alias("sender"), F.length(F.regexp_replace("line", head, "")).cast("long").alias("chars"))

@@ -129,8 +129,10 @@ q AS (SELECT min(item_id) AS phrase_id, array_to_string(w, ' ') AS g FROM p WHER
 d AS (SELECT doc_id, i - 1 AS start, tok[i] || ' ' || tok[i+1] || ' ' || tok[i+2] || ' ' || tok[i+3] AS g FROM (SELECT doc_id, tok, unnest(range(1, len(tok) - 2)) AS i FROM (SELECT doc_id, {TOK} AS tok FROM documents)))
 SELECT doc_id, phrase_id, start::BIGINT AS start, (start + 4)::BIGINT AS "end" FROM d JOIN q USING (g)""")
 def t18(read):
-    first = read("benchmark").select("item_id", F.slice(T.tokens(F.col("text")), 1, 4).alias("w")).filter(F.size("w") == 4)
-    phrases = first.groupBy(F.concat_ws(" ", "w").alias("phrase")).agg(F.min("item_id").alias("phrase_id"))
+    """Every phrase of four words of every item (all words of a shorter one), under the smallest id of an item that has it."""
+    words = read("benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
+    every = words.select("item_id", F.explode(F.when(F.size("w") > 4, T.ngrams(F.col("w"), 4)).otherwise(F.array(F.concat_ws(" ", "w")))).alias("phrase"))
+    phrases = every.groupBy("phrase").agg(F.min("item_id").alias("phrase_id"))
     return S.phrase_spans(read("documents"), phrases).select("doc_id", "phrase_id", F.col("start").cast("long"), F.col("end").cast("long"))
 
 

@@ -139,3 +139,20 @@ def test_products_are_the_same_in_any_blocks(spark, events):
 
     e = spark.read.parquet(f"{events}/embeddings.parquet")
     assert rows(best_products(e, e, "vec_id", "embedding", 5, block=7)) == rows(best_products(e, e, "vec_id", "embedding", 5))
+
+
+def test_whole_values_are_read(spark, tmp_path):
+    # the first eight dimensions are the same for all vectors, the rest tell the labels apart
+    vectors = [(i, [1.0] * 8 + [float(i % 2 == k % 2) for k in range(56)], i % 2) for i in range(10)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows(QUERIES["j15_scored_pairs"](spark, str(tmp_path))) == [(i, i % 2) for i in range(10)]
+
+    spark.createDataFrame([(1, 0, "user", "word " * 9 + "\nend")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(QUERIES["s9_message_import"](spark, str(tmp_path))) == [(1, 0, "00:05", "user", 49)]
+
+    items = [(1, "one two three four five six"), (2, "tail of three"), (3, "four five six seven")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "x three four five six seven", "en", "src3"), (2, "a tail of three", "en", "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(QUERIES["t18_phrase_spans"](spark, str(tmp_path))) == [(1, 1, 1, 5), (1, 3, 2, 6), (2, 2, 1, 4)]
+    assert rows(QUERIES["s13_policy_gate"](spark, str(tmp_path))) == [(1, docs[0][1]), (2, docs[1][1])]
