@@ -5,13 +5,17 @@ same value gets the same pseudonym in every document, different values get diffe
 stay, and a pseudonym passes the same validation. Kinds, in the order in which one place is tried:
 
 * email: local part and domain become a keyed hash under ``.invalid`` (an address has no fixed format);
-* date: ``yyyy-mm-dd``, ``dd/mm/yyyy`` and ``dd.mm.yyyy`` that exist in 1800 to 2199. Those 400 years
-  are 146,097 = 189 * 773 days, the two halves of the network, so no date leaves the range;
+* date: ``yyyy-mm-dd`` (also before a time, as in ``yyyy-mm-ddThh:``), ``dd/mm/yyyy`` and
+  ``dd.mm.yyyy`` that exist in 1800 to 2199. Those 400 years are 146,097 = 189 * 773 days, the two halves of the network, so no date leaves the range;
 * ssn: ``ddd-dd-dddd`` with an area of 001 to 899 but 666, and no zero part, over 898 * (99 * 9999);
-* phone: ``+1 (ddd) ddd-dddd``: the ten digits over 10^5 * 10^5;
+* phone: ``+`` and a country code with groups of digits after it, ``+`` with 8 to 15 digits at once, ``(ddd)
+  ddd-dddd``, ``ddd-ddd-dddd`` and ``ddd.ddd.dddd``: the n digits after the country code (after the first
+  two, where no mark ends it) over 10^(n // 2) * 10^(n - n // 2);
 * ip: four numbers to 255 over 65,536 * 65,536;
 * card: 13 to 19 digits, alone or with single spaces or hyphens, that pass the Luhn check: all but the
-  check digit are permuted, and the check digit is computed anew.
+  check digit are permuted, and the check digit is computed anew. A run of groups of digits ends before
+  any other kind and is searched from each group on for whole groups that pass: common layouts first,
+  then the longest.
 
 Numbers and dates that fail validation are left as they are. Each half changes by the other's keyed
 SHA-256, added modulo its size, in eight rounds; unmask=True runs them backwards (not for emails).
@@ -31,12 +35,16 @@ KINDS = ("email", "date", "ssn", "phone", "ip", "card")
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}" + _END,
-    "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END,
+    "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:)|" + _END + r")|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END + ")",
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
-    "phone": r"(?<![\p{L}\p{N}_+])\+1 \(\d{3}\) \d{3}-\d{4}" + _END,
+    "phone": r"(?<![\p{L}\p{N}_+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?: ?\(\d{1,4}\)|[ .-]\d{1,4})(?:[ .-](?!\d{1,3}(?:\.\d{1,3}){3}|\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4}[ -]\d{4})\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4})" + _END,
     "ip": r"(?<![\p{L}\p{N}_.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}_]|\.\d)",
-    "card": _EDGE + r"\d(?:[ -]?\d){12,18}" + _END,
 }
+# Groups of digits up to where another kind begins; possessive, so that long runs need no stack.
+_STOP = "|".join([r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d)", *[PATTERNS[k] for k in ("ssn", "phone", "ip")], r"\d{2}(?:/\d{2}/|\.\d{2}\.)\d{4}" + _END, r"[\p{L}\p{N}._%+-]{1,64}@"])
+PATTERNS["card"] = _EDGE + r"(?=(?:\d[ -]?){12}\d)\d++" + _END + r"(?:[ -](?!" + _STOP + r")\d++" + _END + ")*+"
+#: Numbers of digits in the groups of common cards.
+LAYOUTS = ("4 4 4 4", "4 6 5", "4 6 4", "4 4 4 4 3", *map(str, range(13, 20)))
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 _DAYS, _FIRST_DAY = (189, 773), "1800-01-01"
 
@@ -134,12 +142,21 @@ def _ssn_text(v: Column, x: Column) -> Column:
     return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in zip(parts, (3, 2, 4), strict=True)])
 
 
+def _code(x: Column) -> Column:
+    """How many digits the country code has."""
+    return F.when(~F.startswith(x, F.lit("+")), 0).when(F.rlike(x, F.lit("^.[0-9]+$")), 2).otherwise(F.length(F.regexp_extract(x, "^.([0-9]+)", 1)))
+
+
 def _phone_value(x: Column) -> tuple[Column, Column, Column]:
-    return F.substring(_digits(x), 2, 10).cast("long"), _long(10**5), _long(10**5)
+    body = F.substring(_digits(x), _code(x) + 1, F.lit(15))
+    half = F.floor(F.length(body) / 2).cast("int")
+    powers = F.array(*[_long(10**i) for i in range(9)])
+    return body.cast("long"), F.get(powers, half), F.get(powers, F.length(body) - half)
 
 
 def _phone_text(v: Column, x: Column) -> Column:
-    return _pour(F.concat(F.lit("1"), F.lpad(v.cast("string"), 10, "0")), x)
+    digits = _digits(x)
+    return _pour(F.concat(F.substring(digits, F.lit(1), _code(x)), F.lpad(v.cast("string"), F.length(digits) - _code(x), F.lit("0"))), x)
 
 
 def _ip_value(x: Column) -> tuple[Column, Column, Column]:
@@ -170,11 +187,50 @@ def _kind_of(x: Column) -> Column:
     return out
 
 
-def pseudonyms(key: str, unmask: bool) -> list:
-    """Functions from an array of matches, one step at a time, to an array of old, kind and new (null: left as it is)."""
+def _cards(run: Column) -> Column:
+    """A run of groups of digits as an array of old and kind: its cards, and what is between them (no kind)."""
+    groups, marks = F.split(run, "[ -]"), F.concat(F.array(F.lit("")), F.filter(F.split(run, "[0-9]+"), lambda m: m != ""))
+    none = F.lit(None).cast("string")
+
+    def best(i: Column) -> Column:
+        """How many groups from the i-th on are a card; 0 if none."""
+
+        def span(k: Column) -> Column:
+            own = F.slice(groups, i + 1, k)
+            digits = F.array_join(own, "")
+            known = F.array_join(F.transform(own, lambda g: F.length(g).cast("string")), " ").isin(*LAYOUTS)
+            passes = F.when(F.length(digits).between(13, 19), _luhn(digits) % 10 == 0).otherwise(False)
+            return F.struct(F.when(passes, F.when(known, 2).otherwise(1)).otherwise(0).alias("ok"), k.alias("k"))
+
+        most = F.array_max(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), span))
+        return F.when(most["ok"] > 0, most["k"]).otherwise(0)
+
+    def step(s: Column, i: Column) -> Column:
+        mark, n = F.get(marks, i), F.when(i < s["to"], F.lit(0)).otherwise(best(i))
+        inside = F.zip_with(F.slice(marks, i + 1, n), F.slice(groups, i + 1, n), lambda m, g: F.concat(m, g))
+        card = F.substring(F.array_join(inside, ""), F.length(mark) + 1, F.lit(64))
+        made = F.when(i < s["to"], F.array().cast("array<struct<old: string, kind: string>>")).when(n > 0, F.array(F.struct(mark.alias("old"), none.alias("kind")), F.struct(card.alias("old"), F.lit("card").alias("kind")))).otherwise(F.array(F.struct(F.concat(mark, F.get(groups, i)).alias("old"), none.alias("kind"))))
+        return F.struct(F.concat(s["out"], made).alias("out"), F.when(n > 0, i + n).otherwise(s["to"]).alias("to"))
+
+    first = F.struct(F.array().cast("array<struct<old: string, kind: string>>").alias("out"), F.lit(0).alias("to"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), first, step, lambda s: s["out"])
 
-    def named(x: Column) -> Column:
-        return F.struct(x.alias("old"), _kind_of(x).alias("kind"))
+
+def pieces(between: Column, found: Column) -> list:
+    """Steps from the texts between matches and the matches to an array of old and kind (null: not personal) that makes up the text."""
+
+    def named(b: Column, x: Column) -> Column:
+        return F.struct(b.alias("between"), x.alias("old"), F.when(x.isNotNull(), _kind_of(x)).alias("kind"))
+
+    def cut(x: Column) -> Column:
+        own = F.struct(x["old"].alias("old"), x["kind"].alias("kind"))
+        return F.concat(F.array(F.struct(x["between"].alias("old"), F.lit(None).cast("string").alias("kind"))), F.when(x["kind"] == "card", _cards(x["old"])).otherwise(F.array(own)))
+
+    return [F.zip_with(between, found, named), lambda c: F.flatten(F.transform(c, cut))]
+
+
+def pseudonyms(key: str, unmask: bool) -> list:
+    """Functions from an array of old and kind, one step at a time, to an array of old, kind and new (null: left as it is)."""
 
     def valued(x: Column) -> Column:
         found = {k: _VALUES[k](x["old"]) for k in _VALUES}
@@ -189,7 +245,7 @@ def pseudonyms(key: str, unmask: bool) -> list:
         new = F.when(x["kind"] == "email", mail).when(x["value"].isNotNull(), _by_kind(x["kind"], {k: f(x["value"], x["old"]) for k, f in _TEXTS.items()}))
         return F.struct(x["old"].alias("old"), x["kind"].alias("kind"), new.alias("new"))
 
-    return [named, valued, permuted, written]
+    return [valued, permuted, written]
 
 
 def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
@@ -199,22 +255,21 @@ def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     rows = rows.withColumn("_found", F.when(F.rlike("_text", F.lit(ANY)), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))))
 
-    rows = rows.withColumn("_new", F.col("_found"))
+    rows = rows.withColumn("_between", F.when(F.col("_found").isNotNull(), F.split("_text", ANY, -1)))
+    paired, cut = pieces(F.col("_between"), F.col("_found"))
+    rows = rows.withColumn("_new", paired)
+    rows = rows.withColumn("_new", cut(F.col("_new")))
     for step in pseudonyms(key, unmask):
         rows = rows.withColumn("_new", F.transform("_new", step))
-    rows = rows.withColumn("_between", F.when(F.col("_found").isNotNull(), F.split("_text", ANY, -1)))
-    text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.flatten(F.zip_with("_between", "_new", lambda b, n: F.array(b, F.coalesce(n["new"], n["old"], F.lit(""))))), "")
-    )
+    text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_new", lambda n: F.coalesce(n["new"], n["old"], F.lit(""))), ""))
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
 
     def place(a: Column, s: Column) -> Column:
-        begin = a["at"] + F.length(s["b"])
-        end = begin + F.coalesce(F.length(s["n"]["old"]), F.lit(0))
-        own = F.array(F.struct(s["n"]["kind"].alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["n"]["new"].isNotNull(), F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
+        end = a["at"] + F.coalesce(F.length(s["old"]), F.lit(0))
+        own = F.array(F.struct(s["kind"].alias("kind"), a["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(s["new"].isNotNull(), F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
 
-    spans = F.aggregate(F.zip_with("_between", "_new", lambda b, n: F.struct(b.alias("b"), n.alias("n"))), F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda a: a["out"])
+    spans = F.aggregate("_new", F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda a: a["out"])
     done = rows.select("_row", text.alias("_text"), F.coalesce(spans, none).alias("_pii"))
     kept = [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
     return done.select(*kept, F.col("_pii").alias("pii"))
