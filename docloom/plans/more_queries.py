@@ -201,8 +201,8 @@ def t20(read):
 
 
 @query("j15_scored_pairs", """
-WITH c AS (SELECT label, list_transform(range(1, 9), lambda i: avg_at[i]) AS m FROM (SELECT label, [avg(embedding[1]), avg(embedding[2]), avg(embedding[3]), avg(embedding[4]), avg(embedding[5]), avg(embedding[6]), avg(embedding[7]), avg(embedding[8])] AS avg_at FROM embeddings GROUP BY 1)),
-s AS (SELECT vec_id, c.label, list_sum(list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * m[i])) AS s FROM embeddings, c)
+WITH x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS m FROM x GROUP BY 1),
+s AS (SELECT vec_id, c.label, list_sum(list_transform(range(1, len(m) + 1), lambda i: embedding[i]::DOUBLE * m[i])) AS s FROM embeddings, c)
 SELECT vec_id, label::BIGINT AS best FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) AS r FROM s) WHERE r = 1""")
 def j15(read):
     """Each vector with the best of the labels' mean vectors: one row for each label, a dimension, is held as an array by every task."""
@@ -236,7 +236,7 @@ def m9(read):
 
 
 @query("s9_message_import", r"""
-WITH l AS (SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':05] ' || role || ': ' || left(text, 20) AS line FROM conversations)
+WITH l AS (SELECT conv_id, turn, '[' || lpad((turn % 24)::VARCHAR, 2, '0') || ':05] ' || role || ': ' || text AS line FROM conversations)
 SELECT conv_id, turn::BIGINT AS turn, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 1) AS clock, regexp_extract(line, '^\[(\d\d:\d\d)\] (\w+): ', 2) AS sender, length(regexp_replace(line, '^\[\d\d:\d\d\] \w+: ', ''))::BIGINT AS chars FROM l""")
 def s9(read):
     """An exported chat's lines into clock, sender and text."""

@@ -200,9 +200,10 @@ def j11(read):
     return words.join(F.broadcast(names), "w").groupBy("entity").agg(F.count("*").alias("mentions"), F.countDistinct("p_partkey").alias("parts"))
 
 
-@query("j12_smallest_scope", f"""
-WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey % 50 AS g, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)
-SELECT p.l_orderkey, p.l_partkey, min_by(bk, (be - bs, bk)) AS bk FROM p JOIN {SPANS.format('b', 1)} b ON b.g = p.g AND bs <= pos AND pos < be GROUP BY 1, 2""")
+@query("j12_smallest_scope", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey % 50 AS g, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT o_custkey % 50 AS g, o_orderkey AS bk, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS bs, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + 1 + o_orderkey % 90 AS be FROM orders)
+SELECT p.l_orderkey, p.l_linenumber, p.l_partkey, min_by(bk, (be - bs, bk)) AS bk FROM p JOIN b ON b.g = p.g AND bs <= pos AND pos < be GROUP BY 1, 2, 3""")
 def j12(read):
     o = read("orders").select(F.col("o_orderkey"), (F.col("o_custkey") % 50).alias("g"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("b_s"))
     scopes = o.select("g", F.col("o_orderkey").alias("bk"), "b_s", (F.col("b_s") + 1 + F.col("o_orderkey") % 90).alias("b_e"))

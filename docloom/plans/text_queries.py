@@ -124,10 +124,11 @@ def t16(read):
 
 
 @query("t18_phrase_spans", f"""
-WITH p AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')[1:4] AS w FROM benchmark),
-q AS (SELECT min(item_id) AS phrase_id, array_to_string(w, ' ') AS g FROM p WHERE len(w) = 4 GROUP BY 2),
-d AS (SELECT doc_id, i - 1 AS start, tok[i] || ' ' || tok[i+1] || ' ' || tok[i+2] || ' ' || tok[i+3] AS g FROM (SELECT doc_id, tok, unnest(range(1, len(tok) - 2)) AS i FROM (SELECT doc_id, {TOK} AS tok FROM documents)))
-SELECT doc_id, phrase_id, start::BIGINT AS start, (start + 4)::BIGINT AS "end" FROM d JOIN q USING (g)""")
+WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM benchmark),
+p AS (SELECT item_id, least(4, len(w)) AS n, array_to_string(w[i:i+least(4, len(w))-1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+q AS (SELECT min(item_id) AS phrase_id, n, g FROM p GROUP BY 2, 3),
+d AS (SELECT doc_id, n, i - 1 AS start, array_to_string(tok[i:i+n-1], ' ') AS g FROM (SELECT doc_id, tok, n, unnest(range(1, len(tok) - n + 2)) AS i FROM (SELECT doc_id, {TOK} AS tok FROM documents), (SELECT DISTINCT n FROM q)))
+SELECT doc_id, phrase_id, start::BIGINT AS start, (start + n)::BIGINT AS "end" FROM d JOIN q USING (n, g)""")
 def t18(read):
     """Every phrase of four words of every item (all words of a shorter one), under the smallest id of an item that has it."""
     words = read("benchmark").select("item_id", T.tokens(F.col("text")).alias("w"))
