@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir, stored
+from ..sources.shared import clear, discard, mark, scratch, shared_dir, stored
 
-__all__ = ["bounded_batches", "by_slices", "discard", "shared_dir", "slices", "stored", "table", "text_of", "vocabulary", "ascii_lower"]
+__all__ = ["ascii_lower", "bounded_batches", "by_slices", "clear", "discard", "free_name", "mark", "placed", "scratch", "shared_dir", "slices", "stored", "table", "text_of", "vocabulary"]
 
 #: Rows and bytes of a slice in which Python code works through an Arrow batch; they bound what it holds besides the batch.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
@@ -28,20 +28,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(top)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, or name_2, name_3 and so on: the first that none of the columns has (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    n, found = 1, name
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    return found
+
+
+#: Items that placed() lists together.
+PLACED_BLOCK = 256
+
+
+def placed(items: Column, size: Callable[[Column], Column], made: Callable[[Column, Column], Column], kind: str) -> Column:
+    """made(place, x) of every x of an array, flattened; made gives an array of type kind, and x's place is the sum of the sizes before it.
+
+    An aggregate copies its list at each step, so lists are made for blocks of items and then joined:
+    n items cost about n * (block + n / block) / 2 copied references instead of n * n / 2."""
+    none = F.array().cast(kind)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PLACED_BLOCK).cast("int")), lambda b: F.slice(items, b * PLACED_BLOCK + 1, PLACED_BLOCK))
+
+    def one(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + size(x)).alias("at"), F.concat(a["out"], made(a["at"], x)).alias("out"))
+
+    def block(a: Column, own: Column) -> Column:
+        return F.aggregate(own, F.struct(a["at"].alias("at"), none.alias("out")), one, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
+
+    return F.when(F.size(items) > 0, F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda a: a["out"])).otherwise(none)
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -4,25 +4,30 @@ Validated numbers and dates are permuted within their own format by a keyed Feis
 same value gets the same pseudonym in every document, different values get different ones, separators
 stay, and a pseudonym passes the same validation. Kinds, in the order in which one place is tried:
 
-* email: local part and domain become a keyed hash under ``.invalid`` (an address has no fixed format);
+* email: local part (the last 64 characters of it at most) and domain (up to 127 labels of 63 before the
+  last) become a keyed hash under ``.invalid`` (an address has no fixed format);
 * date: ``yyyy-mm-dd`` (also before a time, as in ``yyyy-mm-ddThh:``), ``dd/mm/yyyy`` and
   ``dd.mm.yyyy`` that exist in 1800 to 2199. Those 400 years are 146,097 = 189 * 773 days, the two halves of the network, so no date leaves the range;
 * ssn: ``ddd-dd-dddd`` with an area of 001 to 899 but 666, and no zero part, over 898 * (99 * 9999);
 * phone: ``+`` and a country code with groups of digits after it, ``+`` with 8 to 15 digits at once, ``(ddd)
   ddd-dddd``, ``ddd-ddd-dddd`` and ``ddd.ddd.dddd``: the n digits after the country code (after the first
-  two, where no mark ends it) over 10^(n // 2) * 10^(n - n // 2);
+  two, where no mark ends it) over 10^(n // 2) * 10^(n - n // 2), n being 18 at most;
 * ip: four numbers to 255 over 65,536 * 65,536;
 * card: 13 to 19 digits, alone or with single spaces or hyphens, that pass the Luhn check: all but the
   check digit are permuted, and the check digit is computed anew. A run of groups of digits ends before
   any other kind and is searched from each group on for whole groups that pass: common layouts first,
-  then the longest.
+  then the longest. Of cards that overlap the first in the text is taken.
 
 Numbers and dates that fail validation are left as they are. Each half changes by the other's keyed
 SHA-256, added modulo its size, in eight rounds; unmask=True runs them backwards (not for emails).
 
+Every repetition in the patterns is of single characters, possessive or of at most 127 rounds, so a
+text of any length and content needs a bounded stack and steps in proportion to it.
+
 Defined results: a null text stays null, an empty one empty; texts without a match are returned as
-they are; repeated rows come out once each; columns other than text aren't touched, whatever their
-names. A text's matches are replaced in one pass, so a pseudonym is never read again.
+they are; repeated rows come out once each, masked alike; an empty table gives none; columns other
+than text aren't touched, whatever their names. A text's matches are replaced in one pass, so a
+pseudonym is never read again.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, placed
+
 ROUNDS = 8
 KINDS = ("email", "date", "ssn", "phone", "ip", "card")
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}" + _END,
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,127}[A-Za-z]{2,24}" + _END,
     "date": _EDGE + r"(?:\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:)|" + _END + r")|(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})" + _END + ")",
     "ssn": _EDGE + r"\d{3}-\d{2}-\d{4}" + _END,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?: ?\(\d{1,4}\)|[ .-]\d{1,4})(?:[ .-](?!\d{1,3}(?:\.\d{1,3}){3}|\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|\d{4}[ -]\d{4}[ -]\d{4})\d{2,4}){1,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4})" + _END,
@@ -92,9 +99,18 @@ def _pour(digits: Column, shape: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    """The Luhn sum of digits with the last one counted once."""
-    doubled = F.transform(F.reverse(F.split(digits, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
+    """The Luhn sum of 13 to 19 digits with the last one counted once, by arithmetic on the last nine and on those before."""
+    halves = F.struct(F.substring(digits, F.length(digits) - 8, F.lit(9)).cast("long").alias("low"), F.substring(digits, F.lit(1), F.length(digits) - 9).cast("long").alias("high"))
+
+    def total(h: Column) -> Column:
+        out = None
+        for i in range(19):
+            d = _div(h["low" if i < 9 else "high"], _long(10 ** (i % 9 if i < 18 else 9))) % 10
+            one = d * 2 - _div(d, _long(5)) * 9 if i % 2 else d
+            out = one if out is None else out + one
+        return out
+
+    return F.get(F.transform(F.array(halves), total), F.lit(0))
 
 
 def _long(n: int) -> Column:
@@ -148,10 +164,10 @@ def _code(x: Column) -> Column:
 
 
 def _phone_value(x: Column) -> tuple[Column, Column, Column]:
-    body = F.substring(_digits(x), _code(x) + 1, F.lit(15))
+    body = F.substring(_digits(x), _code(x) + 1, F.lit(32))
     half = F.floor(F.length(body) / 2).cast("int")
-    powers = F.array(*[_long(10**i) for i in range(9)])
-    return body.cast("long"), F.get(powers, half), F.get(powers, F.length(body) - half)
+    powers = F.array(*[_long(10**i) for i in range(10)])
+    return F.when(F.length(body) <= 18, body).cast("long"), F.get(powers, half), F.get(powers, F.length(body) - half)
 
 
 def _phone_text(v: Column, x: Column) -> Column:
@@ -187,33 +203,39 @@ def _kind_of(x: Column) -> Column:
     return out
 
 
-def _cards(run: Column) -> Column:
-    """A run of groups of digits as an array of old and kind: its cards, and what is between them (no kind)."""
-    groups, marks = F.split(run, "[ -]"), F.concat(F.array(F.lit("")), F.filter(F.split(run, "[0-9]+"), lambda m: m != ""))
-    none = F.lit(None).cast("string")
+_CUT = "array<struct<old: string, kind: string>>"
+#: A letter before a group says how many groups from it on are a card: A none, B one, up to T for 19.
+_LETTERS = "ABCDEFGHIJKLMNOPQRST"
+_SEGMENT = "A[^A-T]*+|" + "|".join(f"{c}[^A-T]*+" + (f"(?:[A-T][^A-T]*+){{{n - 1}}}" if n > 1 else "") for n, c in enumerate(_LETTERS) if n)
+
 
-    def best(i: Column) -> Column:
-        """How many groups from the i-th on are a card; 0 if none."""
+def _card_groups(groups: Column) -> Column:
+    """How many of up to 19 groups of digits, from the first on, are a card; 0 if none."""
+    spans = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda k: F.struct(F.array_join(F.slice(groups, 1, k), "").alias("digits"), k.alias("k")))
+    fit = F.filter(F.filter(spans, lambda x: F.length(x["digits"]).between(13, 19)), lambda x: _luhn(x["digits"]) % 10 == 0)
 
-        def span(k: Column) -> Column:
-            own = F.slice(groups, i + 1, k)
-            digits = F.array_join(own, "")
-            known = F.array_join(F.transform(own, lambda g: F.length(g).cast("string")), " ").isin(*LAYOUTS)
-            passes = F.when(F.length(digits).between(13, 19), _luhn(digits) % 10 == 0).otherwise(False)
-            return F.struct(F.when(passes, F.when(known, 2).otherwise(1)).otherwise(0).alias("ok"), k.alias("k"))
+    def rank(x: Column) -> Column:
+        return F.struct(F.array_join(F.transform(F.slice(groups, 1, x["k"]), lambda g: F.length(g).cast("string")), " ").isin(*LAYOUTS).alias("known"), x["k"].alias("k"))
 
-        most = F.array_max(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), span))
-        return F.when(most["ok"] > 0, most["k"]).otherwise(0)
+    return F.coalesce(F.array_max(F.transform(fit, rank))["k"], F.lit(0))
 
-    def step(s: Column, i: Column) -> Column:
-        mark, n = F.get(marks, i), F.when(i < s["to"], F.lit(0)).otherwise(best(i))
-        inside = F.zip_with(F.slice(marks, i + 1, n), F.slice(groups, i + 1, n), lambda m, g: F.concat(m, g))
-        card = F.substring(F.array_join(inside, ""), F.length(mark) + 1, F.lit(64))
-        made = F.when(i < s["to"], F.array().cast("array<struct<old: string, kind: string>>")).when(n > 0, F.array(F.struct(mark.alias("old"), none.alias("kind")), F.struct(card.alias("old"), F.lit("card").alias("kind")))).otherwise(F.array(F.struct(F.concat(mark, F.get(groups, i)).alias("old"), none.alias("kind"))))
-        return F.struct(F.concat(s["out"], made).alias("out"), F.when(n > 0, i + n).otherwise(s["to"]).alias("to"))
 
-    first = F.struct(F.array().cast("array<struct<old: string, kind: string>>").alias("out"), F.lit(0).alias("to"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), first, step, lambda s: s["out"])
+def _cards(run: Column) -> Column:
+    """A run of groups of digits as an array of old and kind: its cards, and what is between them (no kind).
+
+    Each group gets a letter for the card that begins there; one more pattern then reads the letters from
+    left to right and takes as many groups as they say, so the steps grow with the run's length alone."""
+    windows = F.regexp_extract_all(run, F.lit(r"(?=(\d{1,20}(?:[ -]\d{1,20}){0,18}))\d++"), F.lit(1))
+    units = F.regexp_extract_all(run, F.lit(r"[ -]?\d++"), F.lit(0))
+    letters = F.transform(F.transform(windows, lambda w: F.split(w, "[ -]")), lambda g: F.substring(F.lit(_LETTERS), _card_groups(g) + 1, F.lit(1)))
+    segments = F.regexp_extract_all(F.array_join(F.zip_with(letters, units, lambda a, b: F.concat(a, b)), ""), F.lit(_SEGMENT), F.lit(0))
+
+    def named(segment: Column) -> Column:
+        own = F.regexp_replace(segment, "[A-T]", "")
+        card = F.array(F.struct(F.regexp_extract(own, "^[ -]?", 0).alias("old"), F.lit(None).cast("string").alias("kind")), F.struct(F.regexp_replace(own, "^[ -]", "").alias("old"), F.lit("card").alias("kind")))
+        return F.when(F.startswith(segment, F.lit("A")), F.array(F.struct(own.alias("old"), F.lit(None).cast("string").alias("kind"))).cast(_CUT)).otherwise(card.cast(_CUT))
+
+    return F.flatten(F.transform(segments, named))
 
 
 def pieces(between: Column, found: Column) -> list:
@@ -249,9 +271,7 @@ def pseudonyms(key: str, unmask: bool) -> list:
 
 
 def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
-    """docs with text masked, and pii (array of kind, start, end in the old text, code points) as a further column.
-
-    A further column of that name in docs is replaced."""
+    """docs with text masked, and a last column (array of kind, start, end in the old text, code points): pii, or pii_2 and so on where docs has that name."""
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     rows = rows.withColumn("_found", F.when(F.rlike("_text", F.lit(ANY)), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))))
 
@@ -262,25 +282,29 @@ def mask(docs: DataFrame, key: str, unmask: bool = False) -> DataFrame:
     for step in pseudonyms(key, unmask):
         rows = rows.withColumn("_new", F.transform("_new", step))
     text = F.when(F.col("_found").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_new", lambda n: F.coalesce(n["new"], n["old"], F.lit(""))), ""))
-    none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
+    spans = "array<struct<kind: string, start: int, end: int>>"
+
+    def length(x: Column) -> Column:
+        return F.coalesce(F.length(x["old"]), F.lit(0))
 
-    def place(a: Column, s: Column) -> Column:
-        end = a["at"] + F.coalesce(F.length(s["old"]), F.lit(0))
-        own = F.array(F.struct(s["kind"].alias("kind"), a["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["new"].isNotNull(), F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
+    def place(at: Column, x: Column) -> Column:
+        own = F.array(F.struct(x["kind"].alias("kind"), at.alias("start"), (at + length(x)).alias("end")))
+        return F.when(x["new"].isNotNull(), own.cast(spans)).otherwise(F.array().cast(spans))
 
-    spans = F.aggregate("_new", F.struct(F.lit(0).alias("at"), none.alias("out")), place, lambda a: a["out"])
-    done = rows.select("_row", text.alias("_text"), F.coalesce(spans, none).alias("_pii"))
-    kept = [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
-    return done.select(*kept, F.col("_pii").alias("pii"))
+    found = F.when(F.col("_new").isNotNull(), placed(F.col("_new"), length, place, spans)).otherwise(F.array().cast(spans))
+    done = rows.select("_row", text.alias("_text"), found.alias("_pii"))
+    kept = [F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*kept, F.col("_pii").alias(free_name(docs.columns, "pii")))
 
 
 def digests(masked: DataFrame) -> DataFrame:
     """doc_id, text (masked), n_pii, one count for each kind, and spans as kind:start:end joined by commas."""
 
+    pii = masked.columns[-1]
+
     def count(kind: str) -> Column:
-        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter(pii, lambda s: s["kind"] == kind)).cast("long")
 
     counts = [count(k).alias(f"n_{k}") for k in KINDS]
-    spans = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return masked.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *counts, spans.alias("spans"))
+    spans = F.array_join(F.transform(pii, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return masked.select("doc_id", "text", F.size(pii).cast("long").alias("n_pii"), *counts, spans.alias("spans"))
