@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe_codec, decontam, pii_mask, quality_rules, secret_scan, simhash_dedup, token_count, token_store, toxicity, url_filter
-from .common import shared_dir, table
+from .common import scratch, table
 
 #: A deployment passes its own; pseudonyms differ with it.
 PII_KEY = "docloom-demonstration-key"
@@ -46,7 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    where = scratch(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), where)
     return token_store.digests(token_store.read(spark, where))
 

@@ -6,7 +6,8 @@ by a hash of the text): ``shard`` and ``block`` (their order), ``shard_start`` (
 before the block), ``n_docs``, ``n_null`` (documents without doc_id, in front), ``n_tokens``, ``ids``
 (little-endian unsigned ids of ``width`` bytes), and two Elias-Fano sequences, ``ends`` (ends of the
 documents in the block's id array) and ``doc_ids`` (less ``doc_base``). ``select(i)`` finds any
-document's offset from the samples, without a table of 64-bit offsets.
+document's offset from the samples, without a table of 64-bit offsets; fetch() reads single documents
+that way.
 
 A block ends after ``block_tokens`` ids, at the end of a document; one document is never split.
 
@@ -29,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, text_of, vocabulary
+from .common import bounded_batches, slices, stored, text_of, vocabulary
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
 SAMPLE = 64
+#: Ids that fetch() looks up, at most.
+FETCH_IDS = 100_000
 
 
 class EliasFano:
@@ -82,60 +85,54 @@ class EliasFano:
         return (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | self._low(0, self.n)
 
 
-class LibraryIds:
-    """The ids of the tokenizers library for a byte-level BPE file.
+#: Ends a unit: a visible character before one of these four.
+_UNIT = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: White space beyond those four, for any reading of "white space".
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Units that a worker remembers, of so many characters at most.
+CACHE_UNITS, CACHE_CHARS = 300_000, 48
 
-    Where the file is plain byte-level BPE (its ids are its merges' ranks, no normaliser, the usual
-    pattern), the library's ids are what tiktoken's merge loop gives for the same ranks at a third of
-    the CPU time, so that loop is used; the tests hold the two against each other on whole tables and
-    on every character. A text with a special string, and every text of any other file, goes to the
-    library itself.
+
+class LibraryIds(dict):
+    """The ids of the tokenizers library, little-endian, ``width`` bytes each; as a dict, of units met before.
+
+    In a byte-level file whose pre-tokeniser uses its own pattern, with neither normaliser nor prefix
+    space nor special strings that strip space, no pre-token goes on from a visible character to a space
+    or line end, and none before such a place looks beyond it. So a text's ids are those of the units
+    between these places; each distinct unit is encoded by the library and remembered up to a bound.
+    Texts with rarer white space, and every text of any other file, go to the library whole.
     """
 
-    def __init__(self, path: str, merge_loop: bool = True):
+    def __init__(self, path: str, by_units: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
-        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
-        ranks = self._ranks(path) if merge_loop else None
-        self.loop = None
-        if ranks:
-            import tiktoken
-            from public_tokenizers import PATTERN
+        self.by_units = by_units and self._falls_apart(path)
 
-            self.loop = tiktoken.Encoding("docloom-store", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    @staticmethod
-    def _ranks(path: str) -> dict[bytes, int] | None:
+    def _falls_apart(self, path: str) -> bool:
         with open(path, encoding="utf-8") as data:
             spec = json.load(data)
-        model, before = spec["model"], spec.get("pre_tokenizer") or {}
-        plain = model["type"] == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        if not plain:
-            return None
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        first = len(model["vocab"]) - len(pairs)
-        if first != 256 or any(model["vocab"].get(a + b) != first + i for i, (a, b) in enumerate(pairs)):
-            return None
-        # The byte-level alphabet: printable characters stand for themselves, other bytes for 256 and on, in order.
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spelled = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
-        return {bytes(spelled[c] for c in token): i for token, i in model["vocab"].items()}
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        tokens = self.library.get_added_tokens_decoder().values()
+        return plain and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in tokens) and not spec.get("truncation") and not spec.get("padding")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.whole(unit)
+        if len(unit) <= CACHE_CHARS and len(self) < CACHE_UNITS:
+            self[unit] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian, ``width`` bytes each."""
-        if self.loop is None:
-            return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            rare = self.special and self.special.search(text)
-            ids = self.library.encode(text, add_special_tokens=False).ids if rare else self.loop.encode_ordinary(text)
-            out.append(np.array(ids, self.type).tobytes())
-        return out
+        """The ids of each text."""
+        return [b"".join(map(self.__getitem__, _UNIT.findall(t))) if self.by_units and not _OTHER_SPACE.search(t) else self.whole(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -187,8 +184,9 @@ def write(docs: DataFrame, where: str, path: str | None = None, block_tokens: in
             yield close()
 
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dealt = rows.repartitionByRange(partitions, F.asc_nulls_first("doc_id")) if partitions else rows.repartitionByRange(F.asc_nulls_first("doc_id"))
-    dealt = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    # The text's hash is part of the range, so rows of one id, or without any, don't all meet in one task.
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()
+    dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
     dealt.mapInArrow(blocks, _BLOCK).write.parquet(where)
 
 
@@ -217,6 +215,58 @@ def read(spark: SparkSession, where: str) -> DataFrame:
     return rows.mapInArrow(documents, "doc_id long, start long, ids binary")
 
 
+def _first_at_least(x: EliasFano, value: int) -> int:
+    """The index of the first element not below value, by select()."""
+    low, high = 0, x.n
+    while low < high:
+        mid = (low + high) // 2
+        if x.select(mid) < value:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
+def fetch(spark: SparkSession, where: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, ids of the stored documents whose id is in wanted(doc_id), by select() alone: a block's other documents aren't decoded.
+
+    Up to FETCH_IDS ids reach every task, and each block takes those between its first and last. A repeated stored id comes out as often as it is stored, an unknown or null one not at all."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    few = [r.doc_id for r in wanted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().limit(FETCH_IDS + 1).collect()]
+    if len(few) > FETCH_IDS:
+        raise ValueError(f"more than {FETCH_IDS} ids; join read() with them")
+    names = np.sort(np.array(few, np.int64))
+
+    def asked_of(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                last = r["doc_base"] + EliasFano(**r["doc_ids"]).select(r["doc_ids"]["n"] - 1)
+                own = names[np.searchsorted(names, r["doc_base"]) : np.searchsorted(names, last, "right")]
+                if len(own):
+                    out.append((r["shard"], r["block"], own.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["s", "b", "asked"])
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                names, ends, raw = EliasFano(**r["doc_ids"]), EliasFano(**r["ends"]), np.frombuffer(r["ids"], f"<u{r['width']}")
+                for doc_id in sorted(r["asked"]):
+                    i = _first_at_least(names, doc_id - r["doc_base"])
+                    while i < names.n and names.select(i) == doc_id - r["doc_base"]:
+                        at = r["n_null"] + i
+                        out.append((doc_id, raw[ends.select(at - 1) if at else 0 : ends.select(at)].astype("<u4").tobytes()))
+                        i += 1
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    blocks = spark.read.schema(_BLOCK).parquet(where).filter("n_docs > n_null")
+    # Only the ends and ids of blocks are read to find those that are asked.
+    asked = stored(blocks.select("shard", "block", "doc_base", "doc_ids").mapInArrow(asked_of, "s int, b int, asked array<long>"), "store-asked")
+    return blocks.join(asked, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("doc_base", "n_null", "width", "ids", "ends", "doc_ids", "asked").mapInArrow(cut, "doc_id long, ids binary")
+
+
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32."""
     return documents.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -103,7 +103,34 @@ def test_store_reads_back(spark, odd, empty, tmp_path):
     assert token_store.read(spark, f"{tmp_path}/none").count() == 0
 
 
-def test_merge_loop_equals_the_library_on_every_character():
+def test_units_equal_the_library_on_every_character():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [f"a{chr(c)}b1 {chr(c)}{chr(c)} .{chr(c)}\n" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
-    assert token_store.LibraryIds(path).encode(texts) == token_store.LibraryIds(path, merge_loop=False).encode(texts)
+    texts = [f"a{chr(c)}b1 {chr(c)}{chr(c)} .{chr(c)}\n {chr(c)} \n\n{chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    own = token_store.LibraryIds(path)
+    assert own.by_units and own.encode(texts) == token_store.LibraryIds(path, by_units=False).encode(texts)
+
+
+def test_units_equal_the_library_on_random_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(8)
+    texts = ["".join(r.choice([" ", "  ", "\n", "\t", "\r\n", "a", "word", "'s", "'", "1", "!", "é", "漢字", "<|endoftext|>", "<|endof", "😀", "\u2003", "\x1c", "\xa0"][: 16 if n % 3 else 19]) for _ in range(r.randint(0, 60))) for n in range(4000)]
+    assert token_store.LibraryIds(path).encode(texts) == token_store.LibraryIds(path, by_units=False).encode(texts)
+    assert not token_store.LibraryIds(public_tokenizers.path("word_bpe_49k.json")).by_units
+
+
+def test_fetch_reads_single_documents(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(10**12, "far away"), (-9, "minus nine")], "doc_id long, text string"))
+    token_store.write(docs, f"{tmp_path}/s", block_tokens=300, partitions=3)
+    every = sorted((r.doc_id, bytes(r.ids)) for r in token_store.read(spark, f"{tmp_path}/s").collect() if r.doc_id is not None)
+    wanted = spark.createDataFrame([(i,) for i in (5, 6, -9, 10**12, 77, None, 1)], "doc_id long")
+    got = sorted((r.doc_id, bytes(r.ids)) for r in token_store.fetch(spark, f"{tmp_path}/s", wanted).collect())
+    assert got == [x for x in every if x[0] in (5, 6, -9, 10**12, 1)] and len([x for x in got if x[0] == 5]) == 2
+    assert token_store.fetch(spark, f"{tmp_path}/s", wanted.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_spread(spark, tmp_path):
+    docs = spark.range(400).selectExpr("7L as doc_id", "concat('text ', id) as text")
+    token_store.write(docs, f"{tmp_path}/s", partitions=4)
+    assert spark.read.parquet(f"{tmp_path}/s").select("shard").distinct().count() > 1
+    rows = sorted(token_store.digests(token_store.read(spark, f"{tmp_path}/s")).collect(), key=lambda r: r.start)
+    assert len(rows) == 400 and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(400)]
