@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import clear, discard, mark, stored
 
 
 def edges_where(edges: DataFrame, src: object = None, dst: object = None, kind: str | None = None, min_weight: float | None = None) -> DataFrame:
@@ -127,21 +127,43 @@ def strong_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+#: Neighbours of a hub that travel under one key.
+HUB_ROWS = 256
+
+
+def _beside_least(pairs: DataFrame, n: int) -> DataFrame:
+    """u, v, low of pairs(u, v): the smallest v of each u beside every pair. n is about the number of pairs.
+
+    Pairs are keyed by u and a part of v's hash, so that a hub's are spread over tasks; what meets under u
+    alone is one number for each part."""
+    if n < 2 * HUB_ROWS:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("low")), "u")
+    keyed = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(n // HUB_ROWS)))
+    own = stored(keyed.groupBy("u", "part").agg(F.min("v").alias("m")), "least")
+    where = own.join(own.groupBy("u").agg(F.min("m").alias("low")), "u").select("u", "part", "low")
+    return keyed.join(where, ["u", "part"]).select("u", "v", "low")
+
+
 def components(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """node, component (smallest node connected with it in either direction), by stars that shrink each round."""
+    """node, component (smallest node connected with it in either direction) of every node with an edge to another, by stars that shrink each round."""
+    spark = edges.sparkSession
     now = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "components")
-    mark = None
+    n, mark_ = now.count(), None
     for _ in range(limit):
-        near = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = near.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = stored(small.filter("u <> v").distinct(), "components")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == mark:
+        since = mark()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Large star: larger neighbours of a node go to the smallest node around it, itself included.
+        large = stored(_beside_least(both, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct(), "large-star")
+        # Small star: a node and its smaller neighbours go to the smallest of them.
+        small = _beside_least(large, n).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
+        after = stored(small.filter("u <> v").distinct(), "components")
+        seen = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        clear(spark, since, [after])
+        discard(now)
+        now, n = after, seen[0]
+        if seen == mark_:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = seen
+        mark_ = seen
     raise ValueError("more rounds than the limit")
 
 
