@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import clear, discard, mark, scratch, shared_dir, stored
 
-__all__ = ["ascii_lower", "bounded_batches", "by_slices", "clear", "discard", "free_name", "mark", "placed", "scratch", "shared_dir", "slices", "stored", "table", "text_of", "vocabulary"]
+__all__ = ["ascii_lower", "bounded_batches", "by_slices", "clear", "discard", "free_name", "mark", "placed", "scratch", "shared_dir", "slices", "stored", "table", "text_of", "vocabulary", "without"]
 
 #: Rows and bytes of a slice in which Python code works through an Arrow batch; they bound what it holds besides the batch.
 SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
@@ -43,6 +45,55 @@ def free_name(columns: list[str], name: str) -> str:
     return found
 
 
+#: Bytes of a filter of keys, at most, and bits that a key gets below that.
+FILTER_BYTES, BITS_PER_KEY = 1 << 23, 16
+
+
+def _filter_mask(key: Column) -> Column:
+    """Four bits of a word of 64."""
+    bits = F.xxhash64(key, F.lit(1))
+    places = [F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", bits, F.lit(6 * i)).bitwiseAND(63).cast("int")) for i in range(4)]
+    return reduce(lambda a, b: a.bitwiseOR(b), places)
+
+
+def possible(keys: DataFrame, key: str, most: int = FILTER_BYTES) -> Callable[[Column], Column]:
+    """A test that is true for every long among keys and for few others: a blocked Bloom filter in expressions.
+
+    A key's bits are in one word of 64. The filter's size follows the number of keys up to a bound, beyond
+    which only the share of false hits grows; it is a table of one row, whose value reaches the tasks as a
+    scalar subquery's. At most one number for each of its words passes the driver."""
+    n = keys.count()
+    words = max(1, min(most // 8, -(-n * BITS_PER_KEY // 64)))
+    word = F.pmod(F.col(key), F.lit(words))
+    merged = keys.filter(F.col(key).isNotNull()).select(word.alias("word"), _filter_mask(F.col(key)).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table_ = bytearray(8 * words)
+    for r in merged.toLocalIterator():
+        struct.pack_into(">q", table_, 8 * r.word, r.bits)
+    one = stored(keys.sparkSession.createDataFrame([(bytes(table_),)], "bits binary"), "key-filter").scalar()
+
+    def test(k: Column) -> Column:
+        own = F.conv(F.hex(F.substring(one, (F.pmod(k, F.lit(words)) * 8 + 1).cast("int"), F.lit(8))), 16, -10).cast("long")
+        mask = _filter_mask(k)
+        return own.bitwiseAND(mask) == mask
+
+    return test
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text aren't in gone(_id, _key: the text's hash), null ids equal to null.
+
+    Only rows that a filter of gone's keys can't rule out are joined; the others' texts stay where they are."""
+
+    def row_key(doc_id: Column, text_key: Column) -> Column:
+        return F.xxhash64(doc_id, text_key)
+
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    maybe = F.coalesce(possible(gone.select(row_key(F.col("_id"), F.col("_key")).alias("k")), "k")(row_key(F.col("doc_id"), text_key)), F.lit(True))
+    hit = docs.filter(maybe)
+    same = hit["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(hit["text"], F.lit(""))) == gone["_key"])
+    return docs.filter(~maybe).unionByName(hit.join(gone, same, "left_anti"))
+
+
 #: Items that placed() lists together.
 PLACED_BLOCK = 256
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, stored, text_of
+from .common import bounded_batches, slices, stored, text_of, without
 
 WINDOW = 13
 K = 5
@@ -210,5 +210,5 @@ def digests(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns. The few others are known by doc_id and text."""
     found = contamination(docs, items).filter("contaminated")
-    bad = stored(found.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_bad_key"]), "left_anti")
+    bad = stored(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
+    return without(docs, bad)

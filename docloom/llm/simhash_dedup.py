@@ -18,11 +18,13 @@ through every point within t div 2 of them; two of them share a point exactly if
 fingerprint makes a bounded number of rows. Nothing is capped or dropped at any level.
 
 Classes. Links meet in rounds of large-star and small-star steps on tables in the shared folder; no
-component is ever gathered in one task or on the driver.
+component is ever gathered in one task or on the driver, and a hub's neighbours are spread over tasks.
 
-Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated
-rows come out once each; columns but doc_id and text aren't read, whatever their names; a null doc_id is never the smallest of a class, and a class of nulls only
-has a null component_id; an empty table gives no rows.
+Defined results: a null or empty text has fingerprint zero and is linked like any other; a text of any
+length is read whole, in blocks of shingles; repeated rows come out once each; columns but doc_id and
+text aren't read, whatever their names; a null doc_id is never the smallest of a class, and a class of
+nulls only has a null component_id; fingerprints at exactly the threshold are linked; an empty table
+gives no rows. doc_id must be a number.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_slices, discard, stored, text_of
+from ..operators import graph
+from .common import bounded_batches, by_slices, stored, text_of, without
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -45,6 +48,8 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: Fingerprints of a cell that one task compares by itself.
 CELL_ROWS = 16_384
 TILE = 128
+#: Fingerprint copies that a task compares: their comparison costs far more than their bytes say.
+TASK_ROWS = 1 << 17
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -294,10 +299,11 @@ def links(nodes: DataFrame, distance: int = MAX_DISTANCE, cell_rows: int = CELL_
     for level in range(2):
         dealt = stored(rows.mapInArrow(_dealer(level, distance), _CELL), f"anchors{level}")
         # Counts are pre-aggregated; only cells above the bound are carried on.
+        tasks = max(1, -(-dealt.count() // TASK_ROWS))
         large = stored(dealt.groupBy("cell").count().filter(F.col("count") > cell_rows).select("cell"), f"large{level}")
         some_large = not large.isEmpty()
         small = dealt.join(large, "cell", "left_anti") if some_large else dealt
-        compared = small.select("cell", "fp", "home").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_compare(distance), _EDGE)
+        compared = small.select("cell", "fp", "home").repartition(tasks, "cell").sortWithinPartitions("cell", "fp").mapInArrow(_compare(distance), _EDGE)
         found = compared if found is None else found.unionByName(compared)
         if not some_large:
             return found.distinct()
@@ -307,23 +313,7 @@ def links(nodes: DataFrame, distance: int = MAX_DISTANCE, cell_rows: int = CELL_
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) of every node with an edge of edges(u, v)."""
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        # Large star: larger neighbours of a node go to the smallest node around it.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        rest = large.join(least, "u").select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
-        after = stored(rest.filter("u <> v").distinct(), "edges")
-        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        discard(now)
-        now = after
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = mark
+    return graph.components(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).withColumnsRenamed({"component": "root"})
 
 
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -349,17 +339,13 @@ def first_of_class(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance
     is_first = found["doc_id"].eqNullSafe(first["_id"]) & (found["text_key"] == first["_key"])
     gone = stored(found.join(first, is_first, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "class-gone")
 
-    def same(other: DataFrame):
-        return docs["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == other["_key"])
-
-    # Only what goes is joined, as a table of measured size.
-    out = docs.join(gone, same(gone), "left_anti")
+    out = without(docs, gone)
     again = first.filter("_n > 1").select("_id", "_key")
     if again.isEmpty():
         return out
     again = stored(again, "class-repeats")
-    single = out.join(again, same(again), "left_anti")
-    return single.unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = out["doc_id"].eqNullSafe(again["_id"]) & (F.xxhash64(F.coalesce(out["text"], F.lit(""))) == again["_key"])
+    return without(out, again).unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def digests(found: DataFrame) -> DataFrame:
