@@ -55,8 +55,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    sets = toxicity.word_sets(table(spark, sf_dir, "documents"))
+    return toxicity.score_sets(sets, toxicity.fit_sets(sets, table(spark, sf_dir, "labels")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are positives; other texts of the training fold are unlabelled. A linear model
+Confirmed toxic texts are positives; all texts of the training fold are unlabelled. A linear model
 over hashed words is trained in numpy on the risk
 ``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))`` with the logistic loss;
 where the corrected part turns negative, the step goes against it, as in non-negative PU learning.
@@ -8,13 +8,18 @@ The class prior is the share of toxic rows among the labelled ones of the traini
 smaller, the share of unlabelled texts with one of the strongest words by that of positives.
 
 Labels are read only from the training fold: rows whose crc32 of doc_id as text isn't divisible by
-``FOLDS``. Inputs of a score are the words of the text alone. What is fitted is bounded: at most
-``MAX_POSITIVE`` positives and about ``MAX_UNLABELLED`` unlabelled texts, by the smallest hashes of
-doc_id, and ``FEATURES`` hashed words, those with the largest z value of being in more positives than
-unlabelled texts; so the model and what reaches the driver have a fixed size. All documents are scored.
-
-Defined results: null, empty and word-less texts get the score of the bias alone; without labelled
-positives every score is 0; repeated rows come out once each; other columns aren't read.
+``FOLDS``. Inputs of a score are the words of the text alone. Texts are cut into words once, as sets of
+hashed words in a stored table. Word counts, the choice of words and the share of texts with a strong
+word cover all texts of the fold. Bounded are the positives (``MAX_POSITIVE``, those with the smallest
+hashes of doc_id), the unlabelled texts of the gradient steps (about ``MAX_UNLABELLED``, by the same
+hash in full width) and the words (``FEATURES``, those with the largest z value of being in more
+positives than unlabelled texts); so the model and what reaches the driver have a fixed size. All
+documents are scored.
+
+Defined results: null, empty and word-less texts get the score of the bias alone; texts of any length
+are read whole; without labelled positives every score is 0; words of equal z are taken by their
+hashes; an id with several labels counts as toxic if one says so; repeated rows come out once each, with
+equal scores; an empty table gives no rows; other columns aren't read. doc_id must be a number.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, text_of
+from .common import bounded_batches, discard, slices, stored, text_of
 
 FOLDS = 5
 BUCKETS = 1 << 20
@@ -62,7 +67,7 @@ def _buckets() -> _Buckets:
 def bucket_set(text: str) -> np.ndarray:
     """The hashed words of a text, each once, in order."""
     words = set(text.encode("utf-8", "surrogatepass").translate(_WORDS).split())
-    return np.unique(np.fromiter(map(_buckets().__getitem__, words), np.int64, len(words)))
+    return np.unique(np.fromiter(map(_buckets().__getitem__, words), np.int32, len(words)))
 
 
 @dataclass(frozen=True)
@@ -71,16 +76,19 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
+    def scores(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of texts whose bucket sets are flat up to each of ends."""
         if not np.isfinite(self.bias):
-            return 0.0
-        z = self.bias
-        if len(self.buckets):
-            found = bucket_set(text)
-            at = np.searchsorted(self.buckets, found)
-            hit = (at < len(self.buckets)) & (self.buckets[np.minimum(at, len(self.buckets) - 1)] == found)
-            z += float(self.weights[at[hit]].sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+            return np.zeros(len(ends))
+        by_bucket = np.zeros(BUCKETS)
+        by_bucket[self.buckets] = self.weights
+        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        z = self.bias + np.bincount(row, by_bucket[flat], len(ends))
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+    def score(self, text: str) -> float:
+        own = bucket_set(text)
+        return float(self.scores(own, np.array([len(own)]))[0])
 
 
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, n_positive: np.ndarray, n_unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -111,83 +119,122 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """text, positive of the rows to fit, and the class prior."""
+def word_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, buckets (the distinct hashed words in order) of every row of docs(doc_id, text), as a stored table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("buckets", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([bucket_set(t) for t in part.column(2).to_pylist()], schema.field(2).type)], schema=schema)
+
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of())
+    return stored(rows.mapInArrow(run, "doc_id long, held_out boolean, buckets array<int>"), "toxicity-words")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each list ends among them."""
+    ends = column.offsets.to_numpy()
+    return column.values.to_numpy()[ends[0] : ends[-1]], ends[1:] - ends[0]
+
+
+def _training(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """doc_id, buckets, positive of all rows of the training fold, and the share of toxic labels."""
     known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").filter(~held_out())
     counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
     prior = min(0.5, max(1e-4, (counts.p or 0) / max(1, counts.n)))
-    order = F.xxhash64("doc_id")
-    toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE).select(F.col("doc_id").alias("_id"))
-    texts = docs.select("doc_id", text_of().alias("text"))
-    # At most MAX_POSITIVE ids: broadcast, so that no text is shuffled.
-    positive = texts.join(F.broadcast(toxic), F.col("doc_id") == F.col("_id")).select("text", F.lit(True).alias("positive"))
-    n = max(1, docs.count())
-    share = min(1.0, MAX_UNLABELLED / (n * (1 - 1 / FOLDS)))
-    rest = texts.filter(~held_out()).filter(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000))
-    return positive.unionByName(rest.select("text", F.lit(False).alias("positive"))), prior
+    toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_POSITIVE)
+    # At most MAX_POSITIVE ids: broadcast, so that no word set is shuffled.
+    marked = F.broadcast(toxic.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_toxic")))
+    rows = sets.filter(~F.col("held_out")).join(marked, F.col("doc_id") == F.col("_id"), "left")
+    return rows.select("doc_id", "buckets", F.coalesce("_toxic", F.lit(False)).alias("positive")), prior
 
 
-def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
-    rows, prior = _sample(bounded_batches(docs), labels)
+def _share(of: int, n: int) -> Column:
+    """Whether a row is among about of of n, by the whole hash of its doc_id."""
+    limit = (of << 64) // max(n, of, 1)
+    return F.xxhash64("doc_id") < F.lit(limit - (1 << 63)).cast("long") if limit < 1 << 64 else F.lit(True)
+
+
+def fit_sets(sets: DataFrame, labels: DataFrame, features: int = FEATURES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    rows, prior = _training(bounded_batches(sets), labels)
 
     def count(batches):
         own, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own[int(positive), bucket_set(text)] += 1
-                n[int(positive)] += 1
-        used = np.flatnonzero(own.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int64()), *[pa.array([n[k], *own[k, used]], pa.int64()) for k in (1, 0)]], names=["bucket", "p", "u"])
-
-    found = rows.mapInArrow(count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    found = found.cache()
+            positive = batch.column(1).to_numpy(zero_copy_only=False)
+            for k, part in enumerate((batch.column(0), batch.column(0).filter(batch.column(1)))):
+                own[k] += np.bincount(_flat(part)[0], minlength=BUCKETS)
+            n += (len(positive), positive.sum())
+        used = np.flatnonzero(own[0])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used], pa.int64()), *[pa.array([n[k], *own[k, used]], pa.int64()) for k in (0, 1)]], names=["bucket", "u", "p"])
+
+    found = stored(rows.select("buckets", "positive").mapInArrow(count, "bucket long, u long, p long").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p")), "toxicity-counts")
     total = found.filter("bucket = -1").first()
     if total is None or not total.p:
         return Model(np.zeros(0, np.int64), np.zeros(0), float("-inf"))
-    top = found.filter(f"bucket >= 0 and p >= {MIN_POSITIVE}")
-    both = (F.col("p") + F.col("u")) / F.lit(float(total.p + max(1, total.u)))
-    z = (F.col("p") / F.lit(float(total.p)) - F.col("u") / F.lit(float(max(1, total.u)))) / F.sqrt(both * (1 - both) * F.lit(1 / total.p + 1 / max(1, total.u)))
-    best = [r.bucket for r in top.withColumn("z", z).filter(f"z >= {MIN_Z}").orderBy(F.desc("z"), "bucket").limit(features).collect()]
-    found.unpersist()
+    both = (F.col("p") + F.col("u")) / F.lit(float(total.p + total.u))
+    z = (F.col("p") / F.lit(float(total.p)) - F.col("u") / F.lit(float(total.u))) / F.sqrt(both * (1 - both) * F.lit(1 / total.p + 1 / total.u))
+    best = [r.bucket for r in found.filter(f"bucket >= 0 and p >= {MIN_POSITIVE}").withColumn("z", z).filter(f"z >= {MIN_Z}").orderBy(F.desc("z"), "bucket").limit(features).collect()]
+    discard(found)
     buckets = np.array(sorted(best), np.int64)
-    strong = np.isin(buckets, best[:STRONG])
-    schema = pa.schema([("positive", pa.bool_()), ("bits", pa.binary()), ("n", pa.int64())])
+    place = np.full(BUCKETS, -1)
+    place[buckets] = np.arange(len(buckets))
+    strong = np.zeros(BUCKETS, bool)
+    strong[best[:STRONG]] = True
+    schema = pa.schema([("positive", pa.bool_()), ("bits", pa.binary()), ("n", pa.int64()), ("strong", pa.int64())])
 
     def reduce_(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                row = np.zeros(len(buckets), np.uint8)
-                row[np.isin(buckets, bucket_set(text))] = 1
-                out.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array([1] * len(out), pa.int64())], schema=schema)
+            flat, ends = _flat(batch.column(0))
+            row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            held = np.bincount(row, strong[flat], len(ends)) > 0
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.bool_()), pa.array([None], pa.binary()), pa.array([len(ends)], pa.int64()), pa.array([held.sum()], pa.int64())], schema=schema)
+            bits = np.zeros((len(ends), max(1, len(buckets))), np.uint8)
+            at = place[flat]
+            bits[row[at >= 0], at[at >= 0]] = 1
+            positive, near = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
+            for side, chosen in ((True, positive), (False, near)):
+                own = np.flatnonzero(chosen)
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(own), pa.bool_()), pa.array([packed[i] for i in own], pa.binary()), pa.array([1] * len(own), pa.int64()), pa.array(held[own].astype(int), pa.int64())], schema=schema)
 
     # Equal rows are one with a weight, so far fewer than the bound reach the driver.
-    packed = rows.mapInArrow(reduce_, "positive boolean, bits binary, n long").groupBy("positive", "bits").agg(F.sum("n").alias("n")).orderBy("positive", "bits").collect()
-    sides, often = {}, {}
+    taken = rows.select("buckets", "positive", _share(max_unlabelled, total.u).alias("near"))
+    packed = taken.mapInArrow(reduce_, "positive boolean, bits binary, n long, strong long").groupBy("positive", "bits").agg(F.sum("n").alias("n"), F.sum("strong").alias("strong")).orderBy("positive", "bits").collect()
+    sides, often, held = {}, {}, {}
     for side in (True, False):
         own = [r for r in packed if r.positive is side]
-        bits = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8))[: len(buckets)] if len(buckets) else np.zeros(0, np.uint8) for r in own], np.float64).reshape(len(own), len(buckets))
-        sides[side], often[side] = bits, np.array([r.n for r in own], np.float64)
-    if not len(sides[False]):
-        sides[False], often[False] = np.zeros((1, len(buckets))), np.ones(1)
+        sides[side] = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8))[: len(buckets)] for r in own], np.float64).reshape(len(own), len(buckets))
+        often[side] = np.array([r.n for r in own], np.float64)
+        counted = own if side else [r for r in packed if r.positive is None]
+        held[side] = sum(r.strong for r in counted) / max(1, sum(r.n for r in counted))
+    if not len(sides[False]):  # a fold so small that the hash takes none
+        sides[False], often[False] = sides[True], often[True]
     # Unlabelled texts hold at least the prior's share of what positives hold, so the labels' share is
     # corrected downwards where toxic rows are labelled more often than others.
-    held = {side: float(sides[side][:, strong].any(axis=1) @ often[side] / often[side].sum()) for side in sides}
     if held[True] > 0:
         prior = min(prior, max(1e-4, held[False] / held[True]))
     weights, bias = nnpu(sides[True], sides[False], often[True], often[False], prior)
     return Model(buckets, weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs(doc_id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES) -> Model:
+    return fit_sets(word_sets(docs), labels, features)
+
+
+def score_sets(sets: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of word_sets()."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([model.score(t) for t in part.column(2).to_pylist()], pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(*_flat(batch.column(2))), pa.float64())], schema=schema)
 
-    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of())
+    rows = bounded_batches(sets).select("doc_id", "held_out", "buckets")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs(doc_id, text)."""
+    return score_sets(word_sets(docs), model)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -148,6 +149,63 @@ def test_labels_of_the_held_out_fold_are_never_read(spark):
     assert (a.buckets == b.buckets).all() and (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_scores_equal_plain_sums(spark, odd):
+    import xxhash
+
+    def words(text):
+        return {w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(brute.LOW)) if w}
+
+    def bucket(word):
+        return xxhash.xxh64_intdigest(word.encode(), toxicity.SEED) % toxicity.BUCKETS
+
+    rows = odd.collect() + spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r.doc_id, n % 2) for n, r in enumerate(rows) if r.doc_id is not None], "doc_id long, toxic int").distinct()
+    used = sorted({bucket(w) for r in rows for w in words(r.text)})[::7]
+    model = toxicity.Model(np.array(used), np.random.default_rng(1).normal(size=len(used)), -0.3)
+    weight = dict(zip(used, model.weights, strict=True))
+    want = sorted((r.doc_id is not None, r.doc_id or 0, round(1 / (1 + np.exp(0.3 - sum(weight.get(b, 0.0) for b in {bucket(w) for w in words(r.text)}))), 9)) for r in rows)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 9)) for r in toxicity.score(docs, model).collect())
+    assert got == want
+    # The words chosen are those of all training rows, whatever the bound of the gradient sample.
+    sets = toxicity.word_sets(docs)
+    a, b = toxicity.fit_sets(sets, labels, max_unlabelled=40), toxicity.fit_sets(sets, labels)
+    assert (a.buckets == b.buckets).all()
+
+
+def test_nnpu_follows_the_plain_risk():
+    """Adam on gradients of the risk that are taken by differences, term by term."""
+    r = np.random.default_rng(5)
+    xp, xu = r.integers(0, 2, (6, 3)).astype(float), r.integers(0, 2, (9, 3)).astype(float)
+    np_, nu, prior = r.integers(1, 4, 6).astype(float), r.integers(1, 5, 9).astype(float), 0.3
+    loss = lambda z: float(np.log1p(np.exp(-z)))
+
+    def parts(theta):
+        of = lambda x, n, sign: sum(c * loss(sign * (row @ theta[:-1] + theta[-1])) for row, c in zip(x, n, strict=True)) / n.sum()
+        return prior * of(xp, np_, 1), of(xu, nu, -1) - prior * of(xp, np_, -1)
+
+    theta, m, v = np.array([0.0, 0.0, 0.0, np.log(prior / (1 - prior))]), np.zeros(4), np.zeros(4)
+    for t in range(1, 41):
+        def aim(x):
+            plus, minus = parts(x)
+            return plus + minus if parts(theta)[1] >= 0 else -minus
+
+        g = np.array([(aim(theta + e) - aim(theta - e)) / 2e-6 for e in np.eye(4) * 1e-6])
+        g[:3] += toxicity.DECAY * theta[:3]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    weights, bias = toxicity.nnpu(xp, xu, np_, nu, prior, steps=40)
+    assert np.allclose([*weights, bias], theta, atol=1e-4)
+
+
+def test_the_gradient_sample_follows_the_whole_hash(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    for of, n, least, most in ((1000, 20_000, 800, 1200), (20_000, 20_000, 20_000, 20_000), (40_000, 10**14, 0, 1)):
+        assert least <= df.filter(toxicity._share(of, n)).count() <= most
+    limit = int(re.search(r"-\d+", str(toxicity._share(40_000, 10**11)))[0]) + (1 << 63)
+    assert limit == (40_000 << 64) // 10**11 > 0  # a share above zero still at 1e11 documents
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
     import public_tokenizers
