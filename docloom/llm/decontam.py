@@ -5,18 +5,22 @@ with the smallest hash is a fingerprint. Both sides choose alike from the conten
 shared span of ``window`` words always shares a fingerprint. A document's windows whose fingerprint is
 one of the benchmark's are extended to the full window and joined with the benchmark's windows.
 
-The fingerprints of the benchmark reach the documents' tasks as a Bloom filter of a fixed size
-(``BLOOM_BYTES`` whatever the benchmark's size); false hits go at the join, which compares the whole
-window. An item of fewer words than a window is one window of its length; its hash is looked up among
-all spans of that length (there are at most ``window - 1`` such lengths).
-
-Windows that belong to the same items share an item set, and documents with the same item sets share
-one digest, so a passage in many items and many documents is never multiplied out.
-
-Defined results: null, empty and word-less texts have no words and are not contaminated; word-less
-items are no windows; repeated documents come out once each; repeated items with one id count once, a
-null item_id is no item; an empty benchmark leaves all documents clean; other columns aren't
-read, and clean() returns them as they are.
+The fingerprints of the benchmark reach the documents' tasks as a Bloom filter of 16 bits for each, up
+to ``BLOOM_BYTES``; beyond that only the share of false hits grows. False hits go at the join, which
+compares two 64-bit hashes of the whole window, both from 64-bit hashes of its words. An item of fewer
+words than a window is one window of its length; its hash is looked up among all spans of that length
+(there are at most ``window - 1`` such lengths).
+
+Windows that belong to the same items share an item set, known by sums over its items' hashes, so no
+window's items are gathered. Documents with the same item sets share one signature, and an item list and
+its digest are made once for each signature, not for each document.
+
+Defined results: null, empty and word-less texts have no words and are not contaminated; texts of any
+length are read whole; word-less items are no windows; an item of fewer words than a window that equals
+part of a longer one counts by itself; documents at exactly one word in ``one_in`` are contaminated;
+repeated documents come out once each; repeated items with one id count once, a null item_id is no item;
+an empty benchmark leaves all documents clean; an empty documents table gives no rows; other columns
+aren't read, and clean() returns them as they are. doc_id and item_id must be numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ WINDOW = 13
 K = 5
 #: Contaminated from this share of hit words on: one in so many.
 ONE_IN = 20
-BLOOM_BYTES = 1 << 21
+BLOOM_BYTES = 1 << 25
 _HASHES = 4
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +124,10 @@ def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
     return items.filter("item_id is not null").select(F.col("item_id").cast("long"), text_of()).mapInArrow(run, "item_id long, len int, h1 long, h2 long, fp long")
 
 
-def _bloom(hashes: DataFrame, size: int = BLOOM_BYTES) -> np.ndarray:
-    """The filter of a column of longs: at most size / 8 words reach the driver, each the OR of its bits."""
+def _bloom(hashes: DataFrame, most: int = BLOOM_BYTES) -> np.ndarray:
+    """The filter of a column of longs, two bytes for each: at most most / 8 words reach the driver, each the OR of its bits."""
+    hashes = hashes.distinct()
+    size = min(most, max(64, 2 * hashes.count() + 7 >> 3 << 3))
 
     def run(batches):
         own = np.zeros(size, np.uint8)
@@ -132,7 +138,7 @@ def _bloom(hashes: DataFrame, size: int = BLOOM_BYTES) -> np.ndarray:
         used = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used], pa.int64())], names=["word", "bits"])
 
-    merged = hashes.distinct().mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    merged = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(size // 8, np.int64)
     for r in merged.toLocalIterator():
         out[r.word] = r.bits
@@ -182,29 +188,40 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) ->
     return base, lines
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, one_in: int = ONE_IN) -> DataFrame:
-    """row, doc_id, text_key, n_words, n_hit, n_items, item_ids (array of strings in order), contaminated of every row of docs(doc_id, text)."""
+def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, one_in: int = ONE_IN) -> tuple[DataFrame, DataFrame]:
+    """(rows, lists). rows: row, doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated and signature (null: no
+    item) of every row of docs(doc_id, text). lists: signature and item_ids (array of strings in order), once for each signature."""
     base, lines = hits(docs, items, window, k)
-    sets = lines.groupBy("h1", "h2", "len").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    sets = stored(sets.withColumn("item_set", F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256)), "item-sets")
-    found = base.select("row", F.explode("spans").alias("s")).select("row", "s.*").join(sets.select("h1", "h2", "len", "item_set"), ["h1", "h2", "len"])
+    lines = stored(lines.select("h1", "h2", "len", "item_id").distinct(), "window-items")
+    item = F.col("item_id")
+    name = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64(item, F.lit(1))), F.sum(F.xxhash64(item, F.lit(2)).cast("decimal(20,0)")))
+    sets = stored(lines.groupBy("h1", "h2", "len").agg(name.alias("item_set")), "item-sets")
+    found = base.select("row", F.explode("spans").alias("s")).select("row", "s.*").join(sets, ["h1", "h2", "len"])
     marks = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"), F.array_sort(F.collect_set("item_set")).alias("item_sets"))
     covered = F.expr("aggregate(spans, struct(0L as n, 0 as reach), (a, s) -> struct(a.n + greatest(0, s.end - greatest(s.start, a.reach)) as n, greatest(a.reach, s.end) as reach), a -> a.n)")
     marks = stored(marks.select("row", covered.alias("n_hit"), F.sha2(F.array_join("item_sets", ","), 256).alias("signature"), "item_sets"), "marks")
+    # first(): rows with one signature have one list of item sets, and windows with one item set the same items.
     named = marks.groupBy("signature").agg(F.first("item_sets").alias("item_sets")).select("signature", F.explode("item_sets").alias("item_set"))
-    # first(): rows with one signature have one list.
-    members = sets.groupBy("item_set").agg(F.first("items").alias("items"))
-    listed = named.join(members, "item_set").select("signature", F.explode("items").alias("item")).groupBy("signature").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("item_ids"))
-    hit = marks.select("row", "n_hit", "signature").join(listed, "signature").select("row", "n_hit", "item_ids")
-    plain = base.filter(F.size("spans") == 0).select("row", "doc_id", "text_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("item_ids"))
-    marked = base.filter(F.size("spans") > 0).select("row", "doc_id", "text_key", "n_words").join(hit, "row", "left").select("row", "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "item_ids")
-    out = plain.unionByName(marked).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).withColumn("n_items", F.size("item_ids").cast("long"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
+    shown = stored(sets.groupBy("item_set").agg(F.min(F.struct("h1", "h2", "len")).alias("w")).select("item_set", "w.*").join(named, "item_set").select("signature", "h1", "h2", "len"), "shown-windows")
+    ids = lines.join(shown, ["h1", "h2", "len"]).select("signature", item.cast("string").alias("item"))
+    lists = stored(ids.groupBy("signature").agg(F.array_sort(F.collect_set("item")).alias("item_ids")).withColumn("items_sha256", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)), "item-lists")
+    hit = marks.select("row", "n_hit", "signature").join(lists.select("signature", F.size("item_ids").cast("long").alias("n_items"), "items_sha256"), "signature")
+    zero, empty = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    columns = "row", "doc_id", "text_key", "n_words"
+    plain = base.filter(F.size("spans") == 0).select(*columns, zero.alias("n_hit"), zero.alias("n_items"), empty.alias("items_sha256"), F.lit(None).cast("string").alias("signature"))
+    marked = base.filter(F.size("spans") > 0).select(*columns).join(hit, "row", "left").select(*columns, F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", empty).alias("items_sha256"), "signature")
+    rows = plain.unionByName(marked).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
+    return rows, lists.select("signature", "item_ids")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, one_in: int = ONE_IN) -> DataFrame:
+    """The rows of judged()."""
+    return judged(docs, items, window, k, one_in)[0]
 
 
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -80,7 +80,12 @@ def test_first_of_class_with_repeated_rows_and_without_ids(spark):
 
 
 def check_contamination(docs, items, **kw):
-    got = sorted([(r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in decontam.contamination(docs, items, **kw).collect()], key=key)
+    found, lists = decontam.judged(docs, items, **kw)
+    listed = {r.signature: list(r.item_ids) for r in lists.collect()}
+    out = found.collect()
+    got = [(r.doc_id, r.n_words, r.n_hit, listed.get(r.signature, []), r.contaminated) for r in out]
+    assert all(r.n_items == len(x[3]) and r.items_sha256 == brute.sha(",".join(x[3])) for r, x in zip(out, got, strict=True))
+    got.sort(key=key)
     rows = docs.collect()
     want = brute.contamination([r.text for r in rows], [(r.item_id, r.text) for r in items.collect()])
     assert got == sorted([(r.doc_id, *w) for r, w in zip(rows, want, strict=True)], key=key)
