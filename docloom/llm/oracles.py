@@ -37,12 +37,16 @@ def _case(value) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in _RULES) + " END"
 
 
+#: The list's entries in canonical form, all of them hosts.
+_ENTRIES = ", ".join("'" + u.removeprefix("https://").removesuffix("/") + "'" for u in url_filter.LISTED)
 OP2 = rf"""
 WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 c AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:(80|443)?$', '', 'g'), '^www\.', '') AS h, list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^#]*?://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|gclid|fbclid|ref)(=|$)'))) AS q FROM u),
 k AS (SELECT *, CASE WHEN h <> '' THEN h || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical, {_case(lambda h, p, v: h + p)} AS rule, {_case(lambda h, p, v: v)} AS ruled FROM c),
-l AS (SELECT DISTINCT canonical FROM k WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in url_filter.LISTED_LABELS)}])),
-m AS (SELECT k.*, CASE WHEN rule IS NULL THEN l.canonical IS NOT NULL END AS listed FROM k LEFT JOIN l ON k.canonical = l.canonical)
+n AS (SELECT *, regexp_extract(canonical, '(?s)^[^/?]*') AS bare FROM k),
+m AS (SELECT *, CASE WHEN rule IS NULL THEN coalesce(canonical IN ({_ENTRIES}) OR regexp_extract(canonical, '(?s)^[^?]*') IN ({_ENTRIES}) OR bare IN ({_ENTRIES})
+  OR regexp_extract(bare, '(?:^|\.)([^.]*\.[^.]*)$', 1) IN ({_ENTRIES}) OR regexp_extract(bare, '(?:^|\.)((?:[^.]*\.){{2}}[^.]*)$', 1) IN ({_ENTRIES})
+  OR regexp_extract(bare, '(?:^|\.)((?:[^.]*\.){{3}}[^.]*)$', 1) IN ({_ENTRIES}) OR regexp_extract(bare, '(?:^|\.)((?:[^.]*\.){{4}}[^.]*)$', 1) IN ({_ENTRIES}), false) END AS listed FROM n)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM m"""
 
 _W = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -18,8 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.listed_hosts(pages))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.block_list(spark))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

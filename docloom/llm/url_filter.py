@@ -1,22 +1,30 @@
 """URL filter: host and path rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
-The filter is an array of 512-bit blocks; a URL's hash picks one block (one cache line) and eight bits
+The list is a table of its own, of any size. An entry without a path stands for its host and all
+subdomains, another one for its URL alone, with any query if it has none. So a page is looked up under
+its canonical URL, under that without the query, and under its host and the host's last two to
+``HOST_LABELS`` labels.
+
+The filter is an array of 512-bit blocks; a name's hash picks one block (one cache line) and eight bits
 in it. Its size is set from the list's length up to ``max_bytes``; beyond that only the share of false
-hits grows. URLs that may be listed go to an exact hash join with the list, which removes false hits.
+hits grows. Pages with a name that may be listed go to an exact hash join with the list, which removes
+false hits; the others are never shuffled.
 
 Canonical form: scheme, user, fragment, a leading ``www.``, default ports and a final slash are gone,
 the host is lower case, tracking parameters are dropped and the others sorted.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no canonical form and
-is allowed; repeated pages come out once each; repeated, null or odd list entries are ignored or count
-once; an empty list lists nothing; other columns aren't read, whatever their names.
+is allowed; URLs of any length are read whole; of rules that fit equally long ones can't differ, as they
+are the same host and path or end in the same text; repeated pages come out once each; repeated, null or
+odd list entries are ignored or count once; an empty list lists nothing and an empty table of pages gives
+no rows; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored
@@ -30,9 +38,11 @@ RULES = (
     ("net", "/es/", BLOCK),
     ("net", "/fr/", BLOCK),
 )
-#: Labels of hosts whose pages the query lists.
-LISTED_LABELS = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
-MAX_BYTES = 1 << 23
+#: The list of the registered query, a stand-in for a deployment's: made-up names under three domains.
+LISTED = tuple(f"https://{name}.example.{top}/" for name in ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x") for top in ("com", "net", "org"))
+#: Labels of the longest suffix of a host that is looked up, besides the whole host.
+HOST_LABELS = 5
+MAX_BYTES = 1 << 25
 BITS_PER_URL = 16
 _BLOCK_BYTES, _BITS = 64, 8
 
@@ -54,6 +64,14 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(F.lit(""))))
 
 
+def names_of(url: Column) -> Column:
+    """What a URL is looked up under, each once; null where there is no host."""
+    whole = canonical(url)
+    host = F.regexp_extract(whole, "(?s)^[^/?]*", 0)
+    ends = [F.substring_index(host, ".", -n) for n in range(2, HOST_LABELS + 1)]
+    return F.when(whole.isNotNull(), F.array_distinct(F.array(whole, F.regexp_extract(whole, r"(?s)^[^?]*", 0), host, *ends)))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, written as host and path, and its verdict; null where none fits."""
     name = verdict = None
@@ -122,20 +140,28 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bytes: int = MAX
     def maybe(hashes):
         import pandas as pd
 
-        return pd.Series(BlockedBloom(bloom.value).has(hashes.to_numpy(np.int64).view(np.uint64)))
+        lengths = hashes.map(len).to_numpy(np.int64)
+        flat = np.concatenate(hashes.to_list()) if lengths.sum() else np.zeros(0, np.int64)
+        hit = BlockedBloom(bloom.value).has(flat.astype(np.int64).view(np.uint64))
+        return pd.Series(np.bincount(np.repeat(np.arange(len(lengths)), lengths), hit, len(lengths)) > 0)
 
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select(F.col("page_id"), F.col("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("_verdict"), F.when(name.isNull(), canonical(F.col("url"))).alias("_canonical"))
-    ruled = rows.filter("_canonical is null").withColumn("listed", F.when(F.col("rule").isNull(), F.lit(False)))
-    open_ = rows.filter("_canonical is not null").withColumn("_maybe", maybe(F.xxhash64("_canonical")))
-    clear = open_.filter("not _maybe").drop("_maybe").withColumn("listed", F.lit(False))
-    exact = open_.filter("_maybe").drop("_maybe").join(urls, F.col("_canonical") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed")
-    every = ruled.unionByName(clear).unionByName(exact)
+    rows = rows.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("_verdict"), F.when(name.isNull(), names_of(F.col("url"))).alias("_names"))
+    columns = "page_id", "host", "path", "rule", "_verdict", "listed"
+    ruled = rows.filter("_names is null").withColumn("listed", F.when(F.col("rule").isNull(), F.lit(False)))
+    open_ = rows.filter("_names is not null").withColumn("_maybe", maybe(F.transform("_names", lambda x: F.xxhash64(x))))
+    clear = open_.filter("not _maybe").withColumn("listed", F.lit(False))
+    # Equal rows meet once; a found name marks all of them.
+    once = open_.filter("_maybe").groupBy("page_id", "url", "host", "path").agg(F.count("*").alias("_n"), F.first("_names").alias("_names"))
+    found = once.select("page_id", "url", F.explode("_names").alias("_listed")).join(urls, "_listed").select("page_id", F.col("url").alias("_url")).distinct().withColumnRenamed("page_id", "_id")
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("url") == F.col("_url"))
+    exact = once.join(found, same, "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("_verdict"), F.col("_url").isNotNull().alias("listed"), F.explode(F.expr("array_repeat(0, cast(_n as int))")).alias("_copy"))
+    every = ruled.select(*columns).unionByName(clear.select(*columns)).unionByName(exact.select(*columns))
     return every.select("page_id", "host", "path", "rule", F.coalesce("_verdict", F.when(F.col("listed"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("verdict"), "listed")
 
 
-def listed_hosts(pages: DataFrame, labels=LISTED_LABELS) -> DataFrame:
-    """url of the pages whose host has one of the labels: the list of the registered query."""
-    return pages.filter(F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*[F.lit(x) for x in labels]))).select("url")
+def block_list(spark: SparkSession, urls=LISTED) -> DataFrame:
+    """url: a list that is given as a parameter."""
+    return spark.createDataFrame([(u,) for u in urls], "url string")
