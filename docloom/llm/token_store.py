@@ -85,12 +85,13 @@ class EliasFano:
         return (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits) | self._low(0, self.n)
 
 
-#: Ends a unit: a visible character before one of these four.
-_UNIT = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: A unit ends before one of four kinds of white space, and after letters before an ASCII mark other than an apostrophe.
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+_UNIT = re.compile(f"[ \n\t\r]*(?:[{_LETTERS}]+(?=[{_MARKS}])|[^ \n\t\r]+)|[ \n\t\r]+")
 #: White space beyond those four, for any reading of "white space".
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_OTHER_SPACE = "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 #: Units that a worker remembers, of so many characters at most.
-CACHE_UNITS, CACHE_CHARS = 300_000, 48
+CACHE_UNITS, CACHE_CHARS = 600_000, 48
 
 
 class LibraryIds(dict):
@@ -98,9 +99,10 @@ class LibraryIds(dict):
 
     In a byte-level file whose pre-tokeniser uses its own pattern, with neither normaliser nor prefix
     space nor special strings that strip space, no pre-token goes on from a visible character to a space
-    or line end, and none before such a place looks beyond it. So a text's ids are those of the units
-    between these places; each distinct unit is encoded by the library and remembered up to a bound.
-    Texts with rarer white space, and every text of any other file, go to the library whole.
+    or line end, or from a letter to a mark, and none before such a place looks beyond it. So a text's ids
+    are those of the units between these places; each distinct unit is encoded by the library and
+    remembered up to a bound. Texts with rarer white space or a special string, and every text of any
+    other file, go to the library whole.
     """
 
     def __init__(self, path: str, by_units: bool = True):
@@ -112,6 +114,8 @@ class LibraryIds(dict):
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.by_units = by_units and self._falls_apart(path)
+        specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.whole_only = re.compile("|".join([_OTHER_SPACE, *specials]))
 
     def _falls_apart(self, path: str) -> bool:
         with open(path, encoding="utf-8") as data:
@@ -132,7 +136,7 @@ class LibraryIds(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        return [b"".join(map(self.__getitem__, _UNIT.findall(t))) if self.by_units and not _OTHER_SPACE.search(t) else self.whole(t) for t in texts]
+        return [b"".join(map(self.__getitem__, _UNIT.findall(t))) if self.by_units and not self.whole_only.search(t) else self.whole(t) for t in texts]
 
 
 @lru_cache(maxsize=2)
