@@ -244,3 +244,28 @@ def test_pipeline_equals_brute_force(spark):
     one = spark.createDataFrame(docs[:1], spark.read.parquet(f"{sf}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, one, sf).columns == columns
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, a null id, and columns whose names operators use inside."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = odd.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0
+        if name == "encoding":
+            assert sorted((r.doc_id is not None, r.doc_id) for r in out.collect()) == sorted((r.doc_id is not None, r.doc_id) for r in rows)
+            continue
+        assert out.columns == none.columns == odd.columns
+        got = out.drop("text", "n_chars").collect()
+        assert all(got.count(r) <= sum(x.block == r.block for x in rows) for r in got)
+        if name == "secrets":
+            assert len(got) == len(rows) and {r.doc_id for r in out.filter("text is null").collect()} == {2}
+        if name == "benchmark_passages":
+            assert len(got) == len(rows)
+        if name == "quality":
+            kept = {r.doc_id for r in got}
+            assert not kept & {2, 3, 4, 9} and sum(r.doc_id == 5 for r in got) in (0, 2)
