@@ -34,31 +34,55 @@ def ngram_repeats(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 def window_diversity(docs: DataFrame, width: int = 50, key: str = "doc_id") -> DataFrame:
     """key, diversity: distinct share of each full window of width tokens, averaged; of shorter texts, of all their tokens.
 
-    A window's distinct count is the number of its tokens whose previous occurrence lies before the
-    window, so one pass over each token's distance to its previous occurrence does it."""
-    rows = occurrences(docs, key)
-    same = Window.partitionBy(key, "token").orderBy("pos")
-    gaps = rows.withColumn("before", F.coalesce(F.lag("pos").over(same), F.lit(-1)))
-    n = Window.partitionBy(key)
-    gaps = gaps.withColumn("n", F.count("*").over(n))
-    # A token at pos counts once in the windows that start after its previous occurrence and hold pos.
-    first = F.greatest(F.col("before") + 1, F.col("pos") - width + 1, F.lit(0))
-    last = F.least(F.col("pos"), F.col("n") - width)
-    long = F.sum(F.greatest(F.lit(0), last - first + 1)) / (F.max(F.col("n") - width + 1) * width)
-    short = F.sum(F.when(F.col("before") < 0, 1).otherwise(0)) / F.max("n")
-    return gaps.groupBy(key).agg(F.when(F.max("n") <= width, short).otherwise(long).alias("diversity"))
-
-
-def simhash(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, simhash: 64 bits as a string of 16 hex digits, each 1 if at least half of the tokens' hashes have it; zeros for no tokens.
-
-    Per row: the hashes' set bits are counted by one aggregate of 64 counters."""
-    rows = with_tokens(docs, key).select(key, T.simhash_bits(F.col("tokens")).alias("h"))
-    ones = F.aggregate("h", F.array_repeat(F.lit(0), 64), lambda a, x: F.transform(a, lambda c, i: c + F.call_function("getbit", x, i)))
-    rows = rows.select(key, F.size("h").alias("n"), ones.alias("ones"))
-    word = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when((F.col("n") > 0) & (2 * F.get(F.col("ones"), i) >= F.col("n")), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    A token counts once in the windows that hold it and start after its previous occurrence. Within the
+    row: tokens and places are sorted together, so each stands next to the one before it, and nothing is
+    shuffled."""
+    rows = with_tokens(docs, key).select(key, F.size("tokens").alias("n"), F.array_sort(F.transform("tokens", lambda t, i: F.struct(F.xxhash64(t).alias("t"), i.alias("i")))).alias("s"))
+    # -1 where a token has no previous occurrence, else its place.
+    before = F.transform("s", lambda x, j: F.struct(x["i"].alias("i"), F.when(F.get(F.col("s"), j - 1)["t"] == x["t"], F.get(F.col("s"), j - 1)["i"]).otherwise(-1).alias("b")))
+    rows = rows.withColumn("g", before)
+    n = F.col("n")
+
+    def windows(x):
+        first = F.greatest(x["b"] + 1, x["i"] - width + 1, F.lit(0))
+        return F.greatest(F.lit(0), F.least(x["i"], n - width) - first + 1).cast("long")
+
+    zero = F.lit(0).cast("long")
+    long = F.aggregate("g", zero, lambda a, x: a + windows(x)) / ((n - width + 1) * width)
+    short = F.size(F.filter("g", lambda x: x["b"] < 0)) / n
+    return rows.select(key, F.when(n > width, long).when(n > 0, short).alias("diversity"))
+
+
+def _narrow_counts(hashes):
+    """How often each bit is set, in blocks of 127 hashes: of a block eight longs c0 to c7, whose byte b counts bit 8 b + k.
+
+    Eight bits are counted by one addition; a byte can't overflow within a block."""
+    zero, bytes_ = F.lit(0).cast("long"), F.lit(0x0101010101010101).cast("long")
+
+    def add(a, x):
+        return F.struct(*[(a[f"c{k}"] + F.call_function("shiftrightunsigned", x, F.lit(k)).bitwiseAND(bytes_)).alias(f"c{k}") for k in range(8)])
+
+    def counted(b):
+        return F.aggregate(F.slice(hashes, b * 127 + 1, 127), F.struct(*[zero.alias(f"c{k}") for k in range(8)]), add)
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(hashes) - 1) / 127)).cast("int")), counted)
+
+
+def simhash(docs: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """key, the columns keep, tokens' number n_tokens and simhash: 64 bits as a string of 16 hex digits, each 1 if at least half of the tokens' hashes have it; all ones for no tokens."""
+    rows = docs.select(key, *keep, T.tokens(F.col("text")).alias("tokens"))
+    rows = rows.select(key, *keep, F.size("tokens").alias("n_tokens"), T.simhash_bits(F.col("tokens")).alias("_h"))
+    narrow = _narrow_counts(F.col("_h"))
+    rows = rows.withColumn("_narrow", narrow)
+    zero = F.lit(0).cast("long")
+
+    def ones(bit: int):
+        return F.aggregate("_narrow", zero, lambda a, c: a + F.call_function("shiftrightunsigned", c[f"c{bit % 8}"], F.lit(8 * (bit // 8))).bitwiseAND(255))
+
+    rows = rows.withColumn("_ones", F.array(*[ones(i) for i in range(64)]))
+    word = F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda a, i: a.bitwiseOR(F.when(2 * F.get(F.col("_ones"), i) >= F.col("n_tokens"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero)))
     # As a generator's output, so that no filter is moved, with copies of the whole expression, below the counters.
-    return rows.select(key, F.inline(F.array(F.struct(F.lower(F.lpad(F.hex(word), 16, "0")).alias("simhash")))))
+    return rows.select(key, *keep, "n_tokens", F.inline(F.array(F.struct(F.lower(F.lpad(F.hex(word), 16, "0")).alias("simhash")))))
 
 
 def compression_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,6 +95,63 @@ def compression_ratio(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, ratio(F.coalesce("text", F.lit(""))).alias("ratio"))
 
 
+def lexemes(docs: DataFrame, pattern: str = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]|\s+") -> DataFrame:
+    """surface, norm, kind, flags, count of the tokens of docs(text). Only distinct surfaces are normalised (NFKC has no form in Spark, so they go to Python in Arrow batches)."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def nfkc(x):
+        return x.map(lambda t: unicodedata.normalize("NFKC", t))
+
+    counted = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("surface")).groupBy("surface").count()
+    # ASCII is its own normal form.
+    plain, other = counted.filter(~F.col("surface").rlike(r"[^\x00-\x7F]")), counted.filter(F.col("surface").rlike(r"[^\x00-\x7F]"))
+    rows = plain.withColumn("_n", F.col("surface")).unionByName(other.withColumn("_n", nfkc("surface")))
+    return rows.select("surface", T.lexeme_norm(F.col("_n")).alias("norm"), T.lexeme_kind(F.col("_n")).alias("kind"), T.lexeme_flags(F.col("surface"), F.col("_n")).alias("flags"), "count")
+
+
+#: Phrases that concept_spans() holds in every task, at most.
+MAX_CONCEPTS = 200_000
+
+
+def concept_spans(docs: DataFrame, concepts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, concept_id, start, end of every occurrence, overlapping ones included, of concepts(concept_id, phrase) in docs(key, text).
+
+    Phrases are substrings of the lower-case text, not words; places are characters. One automaton of all
+    phrases, of a bounded number, reads each text once. Empty and null phrases match nothing."""
+    spec = docs.schema[key].dataType.simpleString()
+    rows = concepts.select(F.col("concept_id").cast("string").alias("c"), F.lower("phrase").alias("p")).filter("p <> ''").distinct().limit(MAX_CONCEPTS + 1).collect()
+    if len(rows) > MAX_CONCEPTS:
+        raise ValueError(f"more than {MAX_CONCEPTS} phrases")
+    by_phrase: dict[str, list[str]] = {}
+    for r in rows:
+        by_phrase.setdefault(r.p, []).append(r.c)
+
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+
+        automaton = ahocorasick.Automaton()
+        for phrase, ids in by_phrase.items():
+            automaton.add_word(phrase, (len(phrase), sorted(ids)))
+        if by_phrase:
+            automaton.make_automaton()
+        for pdf in batches:
+            found = [(k, c, end + 1 - n, end + 1) for k, t in zip(pdf[key], pdf["_low"], strict=True) for end, (n, ids) in (automaton.iter(t) if by_phrase else ()) for c in ids]
+            yield pd.DataFrame(found, columns=[key, "concept_id", "start", "end"])
+
+    return docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_low")).mapInPandas(run, f"{key} {spec}, concept_id string, start long, end long")
+
+
+def repeated_labels(spans: DataFrame, by: str, label: str, start: str, least: int = 3, gap: int = 200) -> DataFrame:
+    """by, label, kept: labels with at least so many occurrences of which each is gap characters or more after the last one kept.
+
+    Taken greedily from the left, over the sorted places of each label."""
+    places = spans.filter(F.col(label) != "").groupBy(by, label).agg(F.array_sort(F.collect_list(F.col(start).cast("long"))).alias("_p"))
+    kept = F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last")), lambda a, p: F.when(a["last"].isNull() | (p - a["last"] >= gap), F.struct((a["n"] + 1).alias("n"), p.alias("last"))).otherwise(a), lambda a: a["n"])
+    return places.select(by, label, kept.alias("kept")).filter(F.col("kept") >= least)
+
+
 def repeated_phrases(docs: DataFrame, n: int = 3, least: int = 3, key: str = "doc_id") -> DataFrame:
     """phrase, count, docs of n-grams that occur often enough; counts are combined before the shuffle."""
     grams = with_tokens(docs, key).select(key, F.explode(T.ngrams(F.col("tokens"), n)).alias("phrase"))

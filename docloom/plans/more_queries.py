@@ -85,7 +85,7 @@ def t33(read):
 
 
 @query("t34_closest_statement", """
-WITH w AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda x: length(x) >= 2 AND x NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + """))) AS s FROM conversations),
+WITH w AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9'']+'), lambda x: length(x) >= 2 AND x NOT IN (""" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + """))) AS s FROM conversations),
 p AS (SELECT a.conv_id * 1000 + a.turn AS claim, b.conv_id * 1000 + b.turn AS stmt, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')
 SELECT claim, max_by(stmt, (i / u, -stmt)) AS stmt, round(max(i / u), 6) AS score FROM p WHERE i > 0 GROUP BY 1""")
 def t34(read):

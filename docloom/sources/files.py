@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import stored
+
 #: Fixed table of adapters by file extension.
 ADAPTERS = {"txt": "text", "md": "text", "html": "html", "htm": "html", "json": "json", "jsonl": "json", "pdf": "pdf", "parquet": "table"}
 
@@ -32,12 +34,23 @@ def admitted(files: DataFrame, max_file_bytes: int, max_total_bytes: int) -> Dat
     rows = files.withColumn("adapter", kind).withColumn("_fit", fit).withColumn("_folder", F.regexp_replace("path", "/[^/]*$", ""))
     size = F.when(F.col("_fit") == "candidate", F.col("bytes")).otherwise(0)
     folders = rows.groupBy("_folder").agg(F.sum(size).alias("_sum"))
-    before = folders.alias("a").join(folders.alias("b"), F.col("b._folder") < F.col("a._folder"), "left").groupBy(F.col("a._folder").alias("_folder")).agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before"))
+    before = running_totals(folders, "_folder", "_sum").select("_folder", F.col("before").alias("_before"))
     total = F.sum(size).over(Window.partitionBy("_folder").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
     status = F.when(F.col("_fit") != "candidate", F.col("_fit")).when(total > max_total_bytes, "over_total").otherwise("admitted")
     return rows.join(before, "_folder").select("path", "bytes", "adapter", status.alias("status"))
 
 
+def running_totals(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows with before: the sum of value over all rows of a smaller order (distinct), without one task that sees them all.
+
+    Rows are dealt by ranges of order and summed within each; a number for each range meets in one more step."""
+    dealt = stored(rows.repartitionByRange(F.asc_nulls_first(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("_range").agg(F.sum(value).alias("_s"))  # as many rows as ranges
+    ahead = parts.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_a"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_w", within).join(ahead, "_range").withColumn("before", F.col("_a") + F.col("_w")).drop("_range", "_a", "_w")
+
+
 def text_segments(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, segment, start, end, segment_text: lines with their half-open spans in the text; empty lines are left out."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
