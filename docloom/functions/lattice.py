@@ -64,3 +64,49 @@ def claim_relation(a: str, b: str) -> Column:
     x, y = F.col(a), F.col(b)
     spo = (x["s"] == y["s"]) & (x["p"] == y["p"]) & (x["o"] == y["o"])
     return F.when(y["procedural"], "procedural_nonanswer").when(spo & (x["polarity"] != y["polarity"]), "explicit_dispute").when((x["text"] == y["text"]) | spo, "exact_support").when((x["s"] == y["s"]) | (x["p"] == y["p"]), "partial_overlap").otherwise("unrelated")
+
+
+def argument_conflict(a: Column, b: Column) -> Column:
+    """Whether two arguments (value, entity_type, status) of one role can't be one: their types differ, or neither side is open and the values differ.
+
+    An unresolved or variable side takes the other's value."""
+    types = a["entity_type"].isNotNull() & b["entity_type"].isNotNull() & (a["entity_type"] != b["entity_type"])
+    is_open = lambda x: x["status"].isin("unresolved", "variable")
+    refines = is_open(a) != is_open(b)
+    return types | (~refines & ~a["value"].eqNullSafe(b["value"]))
+
+
+def joined_argument(a: Column, b: Column) -> Column:
+    """The argument that two compatible ones make: the settled side's value, the first known type, the stronger status (bound, variable, other)."""
+    is_open = lambda x: x["status"].isin("unresolved", "variable")
+    rank = lambda x: F.when(x["status"] == "bound", 2).when(x["status"] == "variable", 1).otherwise(0)
+    value = F.when(is_open(a) & ~is_open(b), b["value"]).otherwise(a["value"])
+    return F.struct(value.alias("value"), F.coalesce(a["entity_type"], b["entity_type"]).alias("entity_type"), F.when(rank(a) >= rank(b), a["status"]).otherwise(b["status"]).alias("status"))
+
+
+def join_roles(a: Column, b: Column) -> tuple[Column, Column]:
+    """(joined role map, conflicting roles in order) of two role maps. A role that conflicts keeps the first side's argument."""
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    conflicts = F.array_sort(F.filter(shared, lambda r: argument_conflict(F.element_at(a, r), F.element_at(b, r))))
+    bad = lambda k: F.array_contains(conflicts, k)
+    joined = F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull(), y).when(y.isNull() | bad(k), x).otherwise(joined_argument(x, y)))
+    return joined, conflicts
+
+
+def access_path(ref: Column, cand: Column) -> Column:
+    """How a reference reaches a candidate, by structs of start, quotation_depth, reporting, clause, coordination, sentence, paragraph: the first that fits."""
+    both = lambda f: ref[f].isNotNull() & cand[f].isNotNull()
+    same = lambda f: F.coalesce(ref[f] == cand[f], F.lit(False))
+    quoted = both("quotation_depth") & (ref["quotation_depth"] != cand["quotation_depth"])
+    return (
+        F.when(cand["start"] >= ref["start"], "not_preceding_reference")
+        .when(quoted & (ref["reporting"].isNotNull() | cand["reporting"].isNotNull()), "reporting_content_boundary")
+        .when(quoted, "quotation_boundary_crossed")
+        .when(same("clause"), "same_clause")
+        .when(same("reporting"), "governing_clause")
+        .when(same("coordination"), "preceding_coordinated_clause")
+        .when(same("sentence"), "same_sentence")
+        .when(same("paragraph"), "preceding_discourse_unit")
+        .when(both("paragraph") & (cand["paragraph"] < ref["paragraph"]), "preceding_paragraph")
+        .otherwise("preceding_document_unit")
+    )

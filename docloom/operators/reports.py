@@ -84,3 +84,78 @@ def micro_scores(gold: DataFrame, found: DataFrame, keys: Sequence[str]) -> Data
     n = g.join(f, list(keys), "full_outer").agg(F.count_if(F.col("_g").isNotNull() & F.col("_f").isNotNull()).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_f").isNull()).alias("fn"))
     share = lambda of: F.when(F.col("tp") + F.col(of) == 0, 1.0).otherwise(F.round(F.col("tp") / (F.col("tp") + F.col(of)), 6))
     return n.select("tp", "fp", "fn", share("fp").alias("precision"), share("fn").alias("recall"))
+
+
+def top_counts(rows: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """The k most frequent values of a column (null counts as empty; ties by value) and how often each occurs."""
+    return rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+#: Fixed weights of a cloud's nodes.
+CLOUD = {"exact": 0.4, "jurisdiction": 0.2, "recency": 0.2, "rank": 0.2}
+
+
+def cloud_score(exact: Column, jurisdiction: Column, days: Column, rank: Column) -> Column:
+    """How near a node is to a query: exactness and jurisdiction (0 to 1), age in days (null: undated) and a court's rank (null: none; larger ranks count less)."""
+    parts = (F.coalesce(exact, F.lit(0.0)) * CLOUD["exact"], F.coalesce(jurisdiction, F.lit(0.0)) * CLOUD["jurisdiction"], F.coalesce(1 / (1 + days / 365) * CLOUD["recency"], F.lit(0.0)), F.coalesce(1 / (1 + rank) * CLOUD["rank"], F.lit(0.0)))
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
+def promotion_gates(spans: DataFrame, signals: DataFrame, doc: str, least: int = 3, gap: int = 200) -> DataFrame:
+    """spans(doc, start, end, label, role, modal) with gate and status: the first gate that fits decides.
+
+    In order: no label (rejected); a span of signals(doc, start, end) overlaps (blocked); a defined term
+    (promoted); a label repeated in its document (promoted); an actor, object or construct beside a modal
+    word (promoted); else none (rejected). Rows need a key of their own: span_id."""
+    from .joins import interval_join
+    from .text_stats import repeated_labels
+
+    name = F.lower(F.trim(F.regexp_replace(F.coalesce("label", F.lit("")), r"\s+", " ")))
+    rows = spans.withColumn("label", name)
+    own = rows.select(doc, "span_id", F.col("start").alias("a_s"), F.col("end").alias("a_e"))
+    other = signals.select(doc, F.col("start").alias("b_s"), F.col("end").alias("b_e"))
+    hit = interval_join(own, other, [doc], 256, ("a_s", "a_e"), ("b_s", "b_e")).select("span_id").distinct().withColumn("_blocked", F.lit(True))
+    often = repeated_labels(rows, doc, "label", "start", least, gap).select(doc, "label", F.lit(True).alias("_often"))
+    rows = rows.join(hit, "span_id", "left").join(often, [doc, "label"], "left")
+    gate = (
+        F.when(F.col("label") == "", "no_label").when(F.col("_blocked"), "signal_block").when(F.col("role") == "defined_term", "defined_term").when(F.col("_often"), "repetition")
+        .when(F.col("role").isin("actor", "object", "construct") & F.col("modal"), "modal_participation").otherwise("no_gate")
+    )
+    status = F.when(gate.isin("no_label", "no_gate"), "rejected").when(gate == "signal_block", "blocked").otherwise("promoted")
+    return rows.select(*spans.columns, gate.alias("gate"), status.alias("status"))
+
+
+def braid_relevance(events: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """event, connectedness, referentiality, depth, score, status of events(event, cluster_size, families, conflict, closed, dated, sourced, blocked).
+
+    links(left, right) join candidates, edges(src, dst, basis) order events; the order by historical time
+    has no cycle. Depth is the longest path from a source plus that to a sink."""
+    from .graph import longest_paths
+
+    ends = links.select(F.col("left").alias("event")).unionByName(links.select(F.col("right").alias("event"))).unionByName(edges.select(F.col("src").alias("event"))).unionByName(edges.select(F.col("dst").alias("event")))
+    degree = ends.groupBy("event").agg(F.count("*").alias("_degree"))
+    timed = edges.filter("basis = 'historical_time_order'").select("src", "dst")
+    down = longest_paths(timed).select(F.col("node").alias("event"), F.col("depth").alias("_down"))
+    up = longest_paths(timed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("node").alias("event"), F.col("depth").alias("_up"))
+    rows = events.join(degree, "event", "left").join(down, "event", "left").join(up, "event", "left")
+    zero = F.lit(0)
+    rows = rows.withColumn("connectedness", (F.coalesce("_degree", zero) + F.coalesce("cluster_size", F.lit(1)) - 1).cast("double")).withColumn("referentiality", F.col("families").cast("double")).withColumn("depth", (F.coalesce("_down", zero) + F.coalesce("_up", zero)).cast("double"))
+    raw = F.col("connectedness") * 0.3 + F.col("referentiality") * 0.2 + F.col("depth") * 0.1 + (F.col("connectedness") + F.col("referentiality")) * 0.1 + F.when(F.col("referentiality") >= 2, 0.2).otherwise(0.0) - F.when(F.col("conflict"), 0.3).otherwise(0.0)
+    rows = rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(raw, 2))))
+    ready = F.col("closed") & F.col("dated") & F.col("sourced") & (F.col("score") >= 0.5)
+    status = F.when(F.col("blocked"), "excluded").when(ready, "timeline_candidate").when(F.col("score") >= 0.4, "triage").otherwise("background")
+    return rows.select("event", "connectedness", "referentiality", "depth", "score", status.alias("status"))
+
+
+#: Fixed weights of a description's measures; rounds join by their maximum, the others by their sum.
+MEASURES = {"nodes": 1.0, "edges": 0.75, "alternatives": 2.0, "unresolved": 3.0, "boundaries": 4.0, "bytes": 1 / 1024, "rules": 0.5, "rounds": 1.0, "nanoseconds": 1e-6, "promoted": 0.25, "interfaces": 0.5, "hierarchy": 0.25}
+
+
+def description_length(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, the joined measures that parts has, and mdl, their weighted sum."""
+    here = [m for m in MEASURES if m in parts.columns]
+    joined = parts.groupBy(*by).agg(*[(F.max(m) if m == "rounds" else F.sum(m)).alias(m) for m in here])
+    total = F.lit(0.0)
+    for m in here:
+        total = total + F.coalesce(F.col(m), F.lit(0)) * F.lit(MEASURES[m])
+    return joined.withColumn("mdl", total)

@@ -201,3 +201,43 @@ def line_diff(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["added", "removed"])
 
     return pairs.select("key", count("old", "new").alias("d")).select("key", "d.added", "d.removed")
+
+
+def obligations(docs: DataFrame, key: str) -> DataFrame:
+    """key, clause, modality, surface, actor, action, object of the clauses of docs(key, text) that hold a modal phrase; what a clause lacks is null.
+
+    The actor is what stands before the phrase, without numbers, marks and words that can't begin one; the
+    action is the word after it (and after "to"), the object what follows up to a preposition of place or time."""
+    rows = docs.select(key, F.posexplode(T.clauses(F.col("text"))).alias("clause", "_w"))
+    rows = rows.withColumn("_n", F.transform("_w", T.plain_word)).withColumn("_m", T.modal_of(F.col("_n"))).filter("_m is not null")
+    words, at, after = F.col("_n"), F.col("_m.at"), F.col("_m.at") + F.col("_m.n")
+    numbered = r"^(?:[0-9]+|[().]+|[a-z]|\([a-z]\))$"
+    before = F.filter(F.slice(words, 1, at), lambda w: (w != "") & ~w.rlike(numbered))
+    rows = rows.withColumn("_b", before)
+    noise = lambda w: w.isin(*T.ACTOR_PREFIXES) | w.rlike(r"^(?:[0-9]+|[0-9]+\.[0-9]+|[().,;:\[\]]+)$")
+    first = F.array_min(F.filter(F.transform("_b", lambda w, i: F.when(~noise(w), i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("_a", F.when(first.isNotNull(), F.slice("_b", first + 1, F.size("_b"))).otherwise(F.col("_b")))
+    meant = F.exists("_a", lambda w: w.rlike(r"\p{L}") & (F.length(w) >= 2) & ~w.isin(*T.ACTOR_NOISE))
+    rest = F.slice(words, after + 1, F.size(words))
+    rows = rows.withColumn("_r", rest).withColumn("_r", F.when(F.get("_r", F.lit(0)) == "to", F.slice("_r", 2, F.size("_r"))).otherwise(F.col("_r")))
+    tail = F.slice("_r", 2, F.size("_r"))
+    rows = rows.withColumn("_t", F.when(F.size("_r") > 1, tail).otherwise(F.array().cast("array<string>")))
+    end = F.array_min(F.filter(F.transform("_t", lambda w, i: F.when(w.isin(*T.OBJECT_ENDS), i)), lambda i: i.isNotNull()))
+    thing = F.array_join(F.filter(F.slice("_t", 1, F.coalesce(end, F.size("_t"))), lambda w: w != ""), " ")
+    return rows.select(
+        key, "clause", F.col("_m.kind").alias("modality"), F.col("_m.surface").alias("surface"), F.when(meant, F.array_join("_a", " ")).alias("actor"),
+        F.when(F.size("_r") > 0, F.get("_r", F.lit(0))).alias("action"), F.when(thing != "", thing).alias("object"),
+    )
+
+
+def citation_resolution(docs: DataFrame, known, key: str = "doc_id") -> DataFrame:
+    """key, citation, pos, reason of every neutral citation of docs(key, text), with its place in characters.
+
+    already_ingested where a document of a smaller key has it; else resolved or unresolved by known(citation)."""
+    pattern = r"\[\d{4}\]\s+[A-Z][A-Z0-9]+\s+\d+"
+    rows = docs.select(key, F.split("text", pattern, -1).alias("_g"), T.citations(F.col("text")).alias("_c"))
+    places = F.transform("_c", lambda c, i: F.struct(c.alias("citation"), (F.aggregate(F.slice("_g", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_c", 1, i), F.lit(0), lambda a, x: a + F.length(x))).cast("long").alias("pos")))
+    found = rows.select(key, F.explode(places).alias("x")).select(key, "x.*")
+    first = found.groupBy("citation").agg(F.min(key).alias("_first"))
+    reason = F.when(F.col(key) != F.col("_first"), "already_ingested").when(known(F.col("citation")), "resolved").otherwise("unresolved")
+    return found.join(first, "citation").select(key, "citation", "pos", reason.alias("reason"))

@@ -82,3 +82,23 @@ def hash_id(prefix: str, *columns: str) -> Column:
     """A content id: prefix and SHA-256 over the columns, nulls and lengths told apart."""
     parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
     return F.concat(F.lit(f"{prefix}:"), F.sha2(F.concat_ws("|", *parts).cast("binary"), 256))
+
+
+def fibre_drift(before: DataFrame, after: DataFrame, slot: list[str], prop: str, value: str, with_entropy: bool) -> DataFrame:
+    """slot, severity, entropy_delta of slots whose fibres (qualifiers or references: prop and value) differ between two snapshots.
+
+    high: the set of properties differs; medium: only the signatures (property and values) do; low: only
+    the entropy of signatures (with_entropy). A slot that a snapshot lacks has no fibres there."""
+    from .stats import entropy
+
+    def state(rows, name):
+        signed = rows.select(*slot, F.col(prop).cast("string").alias("_p"), F.concat_ws("=", prop, value).alias("_s"))
+        sets = signed.groupBy(*slot).agg(F.array_sort(F.collect_set("_p")).alias(f"_p{name}"), F.array_sort(F.collect_set("_s")).alias(f"_s{name}"))
+        return sets.join(entropy(signed, slot, "_s").withColumnRenamed("entropy", f"_e{name}"), slot) if with_entropy else sets.withColumn(f"_e{name}", F.lit(0.0))
+
+    both = state(before, "1").join(state(after, "2"), slot, "full_outer")
+    none, zero = F.array().cast("array<string>"), F.lit(0.0)
+    props, signs = (F.coalesce(f"_{k}1", none) != F.coalesce(f"_{k}2", none) for k in "ps")
+    delta = F.round(F.coalesce("_e2", zero) - F.coalesce("_e1", zero), 6)
+    severity = F.when(props, "high").when(signs, "medium").when(delta != 0, "low")
+    return both.select(*slot, severity.alias("severity"), delta.alias("entropy_delta")).filter("severity is not null")
