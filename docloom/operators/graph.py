@@ -223,3 +223,20 @@ def cone(edges: DataFrame, seeds: DataFrame, kinds: Sequence[str], limit: int =
     nodes = stored(reach(edges, seeds, allowed=ok, limit=limit).select("node"), "cone")
     out = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "type")
     return out.agg(F.count("*").alias("_n"), F.count_if(ok).alias("_ok")).crossJoin(nodes.agg(F.count("*").alias("visited"))).select("visited", F.round(F.col("_ok") / F.greatest(F.lit(1), "_n"), 6).alias("selectivity"), F.round((F.col("_n") - F.col("_ok")) / F.greatest(F.lit(1), "_n"), 6).alias("leakage"))
+
+
+def infer(facts: DataFrame, rules: Sequence[tuple[str, str, str]], limit: int = 32) -> DataFrame:
+    """facts(s, p, o) with all that rules (p, q, r) derive from them: s p x and x q o give s r o. Each round joins only what the last one has found."""
+    known = stored(facts.select("s", "p", "o").distinct(), "facts")
+    new = known
+    table = known.sparkSession.createDataFrame([*rules], "p1 string, p2 string, p3 string")
+    for _ in range(limit):
+        left = lambda d: d.select("s", F.col("p").alias("p1"), F.col("o").alias("x"))
+        right = lambda d: d.select(F.col("s").alias("x"), F.col("p").alias("p2"), "o")
+        ruled = lambda a, b: left(a).join(F.broadcast(table), "p1").join(right(b), ["x", "p2"]).select("s", F.col("p3").alias("p"), "o")
+        found = ruled(new, known).unionByName(ruled(known, new)).distinct()
+        new = stored(found.join(known, ["s", "p", "o"], "left_anti"), "facts")
+        if new.isEmpty():
+            return known
+        known = stored(known.unionByName(new), "facts")
+    raise ValueError("more rounds than the limit")

@@ -102,3 +102,25 @@ def fibre_drift(before: DataFrame, after: DataFrame, slot: list[str], prop: str,
     delta = F.round(F.coalesce("_e2", zero) - F.coalesce("_e1", zero), 6)
     severity = F.when(props, "high").when(signs, "medium").when(delta != 0, "low")
     return both.select(*slot, severity.alias("severity"), delta.alias("entropy_delta")).filter("severity is not null")
+
+
+def ordering_edges(events: DataFrame, by: list[str], ref: str, when: str) -> DataFrame:
+    """by, src, dst, basis: each event and the next of its group in time (historical_time_order, or same_time for equal times); undated ones have none."""
+    w = Window.partitionBy(*by).orderBy(when, ref)
+    rows = events.filter(F.col(when).isNotNull()).select(*by, F.col(ref).alias("src"), F.col(when).alias("_t"), F.lead(ref).over(w).alias("dst"), F.lead(when).over(w).alias("_n")).filter("dst is not null")
+    return rows.select(*by, "src", "dst", F.when(F.col("_n") > F.col("_t"), "historical_time_order").otherwise("same_time").alias("basis"))
+
+
+def lease_state(taken: Column, seconds: Column, now: Column) -> tuple[Column, Column]:
+    """(when a lease ends, its state): free where it was never taken, expired from its end on, else held."""
+    end = taken + F.make_dt_interval(secs=seconds)
+    return end, F.when(taken.isNull(), "free").when(now >= end, "expired").otherwise("held")
+
+
+def fetch_plan(requests: DataFrame, cache: DataFrame, url: str, host: Column, now: Column, ttl_seconds: int, per_window: int) -> DataFrame:
+    """requests with action and window. hit: cache(url, fetched_at) has an answer younger than the limit; fetch: others, so many of a host in each window, in order of url."""
+    newest = cache.groupBy(url).agg(F.max("fetched_at").alias("_at"))
+    fresh = F.col("_at") > now - F.make_dt_interval(secs=F.lit(ttl_seconds))
+    rows = requests.join(newest, url, "left").withColumn("action", F.when(fresh, "hit").otherwise("fetch")).withColumn("_host", host)
+    place = F.row_number().over(Window.partitionBy("_host", "action").orderBy(url))
+    return rows.withColumn("window", F.when(F.col("action") == "fetch", F.floor((place - 1) / per_window))).drop("_host", "_at")

@@ -223,3 +223,55 @@ def m2b(read):
         flag(c("l_quantity") > 25).alias("rules"), c("l_linenumber").alias("rounds"), c("l_suppkey").alias("nanoseconds"), flag(c("l_linestatus") == "F").alias("promoted"), flag(c("l_returnflag") == "A").alias("interfaces"), flag(c("l_linenumber") == 1).alias("hierarchy"),
     )
     return R.description_length(parts, ["o_custkey"]).select("o_custkey", F.round("mdl", 4).alias("mdl"))
+
+
+@query("x4_rules", """
+WITH RECURSIVE b(s, o) AS (SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0 UNION SELECT b.s, h.p_partkey // 3 FROM b JOIN part h ON h.p_partkey = b.o AND h.p_partkey > 0)
+SELECT 'below' AS p, s, o FROM b UNION ALL SELECT DISTINCT 'made_by', b.s, m.l_suppkey FROM (SELECT * FROM b UNION ALL SELECT p_partkey, p_partkey FROM part) b JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 7) m ON m.l_partkey = b.o""")
+def x4(read):
+    """below is transitive, and what is below a part is made by its makers."""
+    from ..operators.graph import infer
+
+    below = read("part").filter("p_partkey > 0").select(F.col("p_partkey").alias("s"), F.lit("below").alias("p"), F.expr("p_partkey div 3").alias("o"))
+    made = read("lineitem").filter("l_linenumber = 7").select(F.col("l_partkey").alias("s"), F.lit("made_by").alias("p"), F.col("l_suppkey").alias("o"))
+    return infer(below.unionByName(made), [("below", "below", "below"), ("below", "made_by", "made_by")])
+
+
+@query("dt7_ordering_edges", "WITH n AS (SELECT o_custkey, o_orderkey AS src, o_orderdate AS t, lead(o_orderkey) OVER w AS dst, lead(o_orderdate) OVER w AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) SELECT o_custkey, src, dst, CASE WHEN nt > t THEN 'historical_time_order' ELSE 'same_time' END AS basis FROM n WHERE dst IS NOT NULL")
+def dt7b(read):
+    return V.ordering_edges(read("orders"), ["o_custkey"], "o_orderkey", "o_orderdate")
+
+
+@query("dt8_leases", "WITH l AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN ts END AS taken, (user_id % 50) * 86400 AS secs FROM events) SELECT CASE WHEN taken IS NULL THEN 'free' WHEN TIMESTAMP '2024-01-20 00:00:00' >= taken + to_seconds(secs) THEN 'expired' ELSE 'held' END AS state, count(*) AS n, strftime(max(taken + to_seconds(secs)), '%Y-%m-%d %H:%M') AS last_end FROM l GROUP BY 1")
+def dt8(read):
+    end, state = V.lease_state(F.when(F.col("event_type") != "error", F.col("ts")), (F.col("user_id") % 50) * 86400, F.lit("2024-01-20").cast("timestamp_ntz"))
+    return read("events").select(state.alias("state"), end.alias("e")).groupBy("state").agg(F.count("*").alias("n"), F.date_format(F.max("e"), "yyyy-MM-dd HH:mm").alias("last_end"))
+
+
+@query("s8_fetch_plan", r"""
+WITH c AS (SELECT url, max(CASE page_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2023-12-01 00:00:00' END) AS f FROM pages WHERE page_id % 4 <> 1 GROUP BY 1),
+r AS (SELECT page_id, url, CASE WHEN f > TIMESTAMP '2023-12-26 00:00:00' THEN 'hit' ELSE 'fetch' END AS action, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages LEFT JOIN c USING (url))
+SELECT page_id, action, CASE WHEN action = 'fetch' THEN (row_number() OVER (PARTITION BY host, action ORDER BY url) - 1) // 2 END::BIGINT AS window FROM r""")
+def s8(read):
+    """Pages of a week's cache and the others, two of a host in each window."""
+    at = F.when(F.col("page_id") % 3 == 0, "2024-01-01").otherwise("2023-12-01").cast("timestamp_ntz")
+    cache = read("pages").filter("page_id % 4 <> 1").select("url", at.alias("fetched_at"))
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return V.fetch_plan(read("pages").select("page_id", "url"), cache, "url", host, F.lit("2024-01-02").cast("timestamp_ntz"), 7 * 86400, 2).select("page_id", "action", F.col("window").cast("long").alias("window"))
+
+
+_SIGNATURES = {"actors": "p_type", "actions": "p_size", "objects": "p_name", "edge_types": "p_partkey % 10", "edge_roles": "concat(p_type, ':', p_size % 5)"}
+
+
+@query("u5_relational_similarity", f"""
+WITH s AS (SELECT p_brand, {', '.join(f"list(DISTINCT ({v})::VARCHAR) AS {k}" for k, v in _SIGNATURES.items())} FROM part GROUP BY 1)
+SELECT a.p_brand AS a, b.p_brand AS b, round(({' + '.join(f"len(list_intersect(a.{k}, b.{k}))::DOUBLE / len(list_distinct(list_concat(a.{k}, b.{k})))" for k in _SIGNATURES)}) / 5, 6) AS similarity FROM s a JOIN s b ON a.p_brand < b.p_brand""")
+def u5b(read):
+    """Five sets of each brand, compared pairwise: brands are a dimension of fixed size."""
+    from functools import reduce
+
+    s = read("part").groupBy("p_brand").agg(*[F.collect_set(F.expr(v).cast("string")).alias(k) for k, v in _SIGNATURES.items()])
+    a, b = (s.select(*[F.col(c).alias(f"{side}_{c}") for c in s.columns]) for side in "ab")
+    both = a.join(b, F.col("a_p_brand") < F.col("b_p_brand"))
+    total = reduce(lambda x, y: x + y, [T.jaccard(F.col(f"a_{k}"), F.col(f"b_{k}")) for k in _SIGNATURES])
+    return both.select(F.col("a_p_brand").alias("a"), F.col("b_p_brand").alias("b"), F.round(total / 5, 6).alias("similarity"))

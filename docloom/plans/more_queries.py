@@ -58,7 +58,7 @@ def t8(read):
 @query("t14_draft_duplicates")
 def t14(read):
     """Documents of a source as drafts of one case."""
-    d = TS.simhash(read("documents")).join(read("documents").select("doc_id", "source"), "doc_id")
+    d = TS.simhash(read("documents"), "doc_id", "source")
     rows = d.select(F.col("source").alias("case_id"), (F.col("doc_id") % 7).alias("draft"), F.col("doc_id").alias("row"), F.conv("simhash", 16, -10).cast("long").alias("simhash"))
     return X.draft_duplicates(rows)
 

@@ -31,7 +31,7 @@ def _stream(name, sql=None):
 
 @_stream("r1_stream_owner_totals", TOTALS)
 def r1s(spark, sf_dir):
-    return S.finished(S.owner_totals(S.source(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value"), "owner-totals", ["user_id", "event_type"], "update")
+    return S.finished(S.owner_totals(S.source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "event_id", "value", ("ts", "30 days")), "owner-totals", ["user_id", "event_type"], "update")
 
 
 @_stream("r9_stream_conversations", "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, max(turn)::BIGINT AS last_turn FROM conversations GROUP BY 1")
@@ -111,3 +111,37 @@ def r12s(spark, sf_dir):
 def r12b(read):
     s = read("events").groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.count("*").alias("c"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("c").alias("n"))
+
+
+@query("r5_inbox", "WITH p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, CASE WHEN p <= 64 THEN 'admitted' ELSE 'deferred' END AS state, greatest(0, ceil((p - 64) / 8))::BIGINT AS round, count(*) AS n FROM p GROUP BY 1, 2, 3")
+def r5b(read):
+    return S.inbox(read("events"), ["user_id"], ["ts", "event_id"]).groupBy("user_id", "state", "round").agg(F.count("*").alias("n"))
+
+
+@_stream("r7_driver_loop", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def r7(spark, sf_dir):
+    """Each round's batches are aggregated and kept by their number; the loop ends when nothing is new."""
+    from ..sources.shared import scratch
+
+    top = scratch(spark, "driver-loop")
+    S.drive(S.source(spark, sf_dir, "events"), lambda batch, number: batch.groupBy("user_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{top}/batch={number}"), "driver")
+    return spark.read.schema("user_id long, n long").parquet(f"{top}/*").groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+@_stream("r10_outbox", "SELECT event_id AS ref, 'committed' AS kind FROM events")
+def r10(spark, sf_dir):
+    return S.outbox(S.source(spark, sf_dir, "events"), "event_id", "outbox").select("ref", "kind")
+
+
+class _Spread:
+    schema = "user_id long, n long, spread double"
+
+    def close(self, scope, rows):
+        import pandas as pd
+
+        return pd.DataFrame({"user_id": [scope[0]], "n": [len(rows)], "spread": [round(float(rows["value"].max() - rows["value"].min()), 6)]})
+
+
+@query("x2_executor", "SELECT user_id, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1")
+def x2(read):
+    return S.execute(read("events").select("user_id", "value"), ["user_id"], _Spread())
