@@ -12,8 +12,10 @@ the list is applied to every document.
 
 Defined results: null, empty and word-less texts have all statistics 0 and fail the base rule (fewer
 than 20 words); with no labelled rows, or of one kind only, the list is empty and the base rule alone
-decides; a doc_id with several labels counts with each; repeated rows come out once each; extra
-columns, whatever their names, don't matter to statistics(); an empty table gives no rows.
+decides; a doc_id with several labels counts with each, and one with several rows once for each label,
+with the smallest statistics; of tests that gain equally the first feature and the smallest threshold is
+taken; texts of any length are read whole; repeated rows come out once each; extra columns, whatever
+their names, don't matter to statistics(); an empty table gives no rows. Labelled doc_ids must be numbers.
 """
 
 from __future__ import annotations
@@ -188,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, precision:
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_quality").limit(max_rows) if max_rows else known
     # At most max_rows labels: broadcast, so that no text is shuffled.
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen) if max_rows else chosen, F.col("doc_id") == F.col("_id"))
-    rows = [r for r in statistics(joined, "doc_id", "_quality").select("doc_id", "_quality", base_failed().alias("_failed"), *[c.alias(k) for k, c in features().items()]).collect() if not r._failed]
+    found = statistics(joined, "doc_id", "_quality").filter(~base_failed()).select("doc_id", "_quality", F.struct(*[c.alias(k) for k, c in features().items()]).alias("_x"))
+    # Rows of one id count once for each of its labels, so no more than the labels reach the driver.
+    rows = found.groupBy("doc_id", "_quality").agg(F.min("_x").alias("_x")).select("doc_id", "_quality", "_x.*").collect()
     rows.sort(key=lambda r: (r.doc_id * 2654435761 & 0xFFFFFFFF, r.doc_id, r._quality))
     if not rows:
         return []
