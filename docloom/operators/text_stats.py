@@ -32,7 +32,7 @@ def ngram_repeats(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def window_diversity(docs: DataFrame, width: int = 50, key: str = "doc_id") -> DataFrame:
-    """key, diversity: distinct share of each full window of width tokens, averaged; of shorter texts, of all their tokens.
+    """key, diversity: distinct share of each full window of width tokens, averaged; of shorter texts, of all their tokens. Texts without tokens are left out.
 
     A token counts once in the windows that hold it and start after its previous occurrence. Within the
     row: tokens and places are sorted together, so each stands next to the one before it, and nothing is
@@ -50,7 +50,7 @@ def window_diversity(docs: DataFrame, width: int = 50, key: str = "doc_id") -> D
     zero = F.lit(0).cast("long")
     long = F.aggregate("g", zero, lambda a, x: a + windows(x)) / ((n - width + 1) * width)
     short = F.size(F.filter("g", lambda x: x["b"] < 0)) / n
-    return rows.select(key, F.when(n > width, long).when(n > 0, short).alias("diversity"))
+    return rows.filter(n > 0).select(key, F.when(n > width, long).otherwise(short).alias("diversity"))
 
 
 def _narrow_counts(hashes):
