@@ -8,6 +8,8 @@ from math import erf, lgamma, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, stored
+
 #: Keys by which single persons could be told apart; grouping by them must be asked for.
 INDIVIDUAL = frozenset({"judge_id", "user_id", "person_id"})
 
@@ -125,7 +127,7 @@ def ridge_logistic(rows: DataFrame, group_by: Sequence[str], features: Sequence[
     names = ["_one", *features]
     k = len(names)
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group_by).schema)
-    data = rows.select(*group_by, F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y")).cache()
+    data = stored(rows.select(*group_by, F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y")), "logistic")
     keys = [tuple(r) for r in data.select(*group_by).distinct().limit(10_001).collect()]
     if len(keys) > 10_000:
         raise ValueError("more than 10,000 groups")
@@ -148,7 +150,7 @@ def ridge_logistic(rows: DataFrame, group_by: Sequence[str], features: Sequence[
             largest = max(largest, float(np.abs(step).max()))
         if largest < 1e-9:
             break
-    data.unpersist()
+    discard(data)
     out = [(*g, int(counts[g]), *[float(x) for x in t]) for g, t in theta.items()]
     return rows.sparkSession.createDataFrame(out, f"{spec}, n long, intercept double, " + ", ".join(f"`{c}` double" for c in features))
 
