@@ -117,10 +117,10 @@ def lease_state(taken: Column, seconds: Column, now: Column) -> tuple[Column, Co
     return end, F.when(taken.isNull(), "free").when(now >= end, "expired").otherwise("held")
 
 
-def fetch_plan(requests: DataFrame, cache: DataFrame, url: str, host: Column, now: Column, ttl_seconds: int, per_window: int) -> DataFrame:
-    """requests with action and window. hit: cache(url, fetched_at) has an answer younger than the limit; fetch: others, so many of a host in each window, in order of url."""
+def fetch_plan(requests: DataFrame, cache: DataFrame, url: str, host: Column, now: Column, ttl_seconds: int, per_window: int, ties: Sequence[str] = ()) -> DataFrame:
+    """requests with action and window. hit: cache(url, fetched_at) has an answer younger than the limit; fetch: others, so many of a host in each window, in order of url. ties order equal urls."""
     newest = cache.groupBy(url).agg(F.max("fetched_at").alias("_at"))
     fresh = F.col("_at") > now - F.make_dt_interval(secs=F.lit(ttl_seconds))
     rows = requests.join(newest, url, "left").withColumn("action", F.when(fresh, "hit").otherwise("fetch")).withColumn("_host", host)
-    place = F.row_number().over(Window.partitionBy("_host", "action").orderBy(url))
+    place = F.row_number().over(Window.partitionBy("_host", "action").orderBy(url, *ties))
     return rows.withColumn("window", F.when(F.col("action") == "fetch", F.floor((place - 1) / per_window))).drop("_host", "_at")

@@ -253,11 +253,11 @@ WITH c AS (SELECT url, max(CASE page_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00
 r AS (SELECT page_id, url, CASE WHEN f > TIMESTAMP '2023-12-26 00:00:00' THEN 'hit' ELSE 'fetch' END AS action, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages LEFT JOIN c USING (url))
 SELECT page_id, action, CASE WHEN action = 'fetch' THEN (row_number() OVER (PARTITION BY host, action ORDER BY url) - 1) // 2 END::BIGINT AS window FROM r""")
 def s8(read):
-    """Pages of a week's cache and the others, two of a host in each window."""
+    """Pages of a week's cache and the others, two of a host in each window. Pages of one url, whose order the SQL leaves open, go by page_id."""
     at = F.when(F.col("page_id") % 3 == 0, "2024-01-01").otherwise("2023-12-01").cast("timestamp_ntz")
     cache = read("pages").filter("page_id % 4 <> 1").select("url", at.alias("fetched_at"))
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return V.fetch_plan(read("pages").select("page_id", "url"), cache, "url", host, F.lit("2024-01-02").cast("timestamp_ntz"), 7 * 86400, 2).select("page_id", "action", F.col("window").cast("long").alias("window"))
+    return V.fetch_plan(read("pages").select("page_id", "url"), cache, "url", host, F.lit("2024-01-02").cast("timestamp_ntz"), 7 * 86400, 2, ["page_id"]).select("page_id", "action", F.col("window").cast("long").alias("window"))
 
 
 _SIGNATURES = {"actors": "p_type", "actions": "p_size", "objects": "p_name", "edge_types": "p_partkey % 10", "edge_roles": "concat(p_type, ':', p_size % 5)"}

@@ -24,3 +24,9 @@ def test_years_of_any_length(spark, tmp_path):
     got = rows(QUERIES["dt6_epoch"](spark, str(tmp_path)))
     assert got == by_sql("dt6_epoch", tmp_path, "events")
     assert dict(got)[5_999_999] == "18451-05-02T11:13:19" and dict(got)[-500_000].startswith("0") and dict(got)[-1_000_000].startswith("-")
+
+
+def test_pages_of_one_url_go_by_page_id(spark, tmp_path):
+    pages = [(4 * n + 1, "http://a.example/x") for n in range(40)]
+    spark.createDataFrame(pages[::-1], "page_id long, url string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert rows(QUERIES["s8_fetch_plan"](spark, str(tmp_path))) == [(p, "fetch", n // 2) for n, (p, _) in enumerate(pages)]
