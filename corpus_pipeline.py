@@ -41,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated ones too; an empty text has no ids and decodes to no bytes."""
-    return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs)))
+    return bpe_codec.digests(bpe_codec.encode_decode(docs))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("secrets", secrets), ("encoding", encoding)]

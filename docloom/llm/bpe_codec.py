@@ -61,34 +61,54 @@ def _stitchable(text: str, ends: list[int], low: int, high: int) -> list[int]:
     return [e for e in ends if low < e < min(high, len(text)) and not text[e - 1].isspace() and text[e] in " \n"]
 
 
-def _encoder(path: str, pattern: str, keep: pa.Schema):
+def _encoder(path: str, pattern: str, keep: pa.Schema, spelled: bool = False):
+    """The columns of keep and token_ids of a text, the last column; spelled: and content, what decode() makes of the ids."""
     schema = keep.append(pa.field("token_ids", pa.list_(pa.int32())))
+    schema = schema.append(pa.field("content", pa.binary())) if spelled else schema
 
     def work(columns: list[list]) -> dict:
         encode = _encoding(path, pattern).encode_ordinary
-        out = dict(zip(keep.names, columns, strict=False))
-        return out | {"token_ids": pa.array([encode(t) for t in columns[-1]], pa.list_(pa.int32()))}
+        ids = [encode(t) for t in columns[-1]]
+        out = dict(zip(keep.names, columns, strict=False)) | {"token_ids": pa.array(ids, pa.list_(pa.int32()))}
+        return out | {"content": pa.array(_spell(ids, path), pa.binary())} if spelled else out
 
     return by_slices(work, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """doc_id, token_ids (array<int>) of every row of docs(doc_id, text)."""
+def _spell(ids: list[list[int] | None], path: str) -> list[bytes]:
+    spell = _token_bytes(path).__getitem__
+    return [b"".join(map(spell, i or ())) for i in ids]
+
+
+def _by_length(docs: DataFrame, path: str | None, pattern: str | None, chunk_chars: int, overlap_chars: int) -> tuple[DataFrame, DataFrame, str, str]:
+    """doc_id and text of short and of long texts, path and pattern with their defaults."""
     if not 2 * overlap_chars < chunk_chars:
         raise ValueError("an overlap must be shorter than half a chunk")
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    path = path or vocabulary("byte_bpe_50k.tiktoken")
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    short = rows.filter(F.length("text") <= chunk_chars)
-    long = rows.filter(F.length("text") > chunk_chars)
-    key = pa.schema([("doc_id", pa.int64())])
-    encoded = short.mapInArrow(_encoder(path, pattern, key), "doc_id long, token_ids array<int>")
+    return rows.filter(F.length("text") <= chunk_chars), rows.filter(F.length("text") > chunk_chars), path or vocabulary("byte_bpe_50k.tiktoken"), pattern
+
+
+_KEY = pa.schema([("doc_id", pa.int64())])
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """doc_id, token_ids (array<int>) of every row of docs(doc_id, text)."""
+    short, long, path, pattern = _by_length(docs, path, pattern, chunk_chars, overlap_chars)
+    encoded = short.mapInArrow(_encoder(path, pattern, _KEY), "doc_id long, token_ids array<int>")
     return encoded.unionByName(_encode_long(long, path, pattern, chunk_chars, overlap_chars))
 
 
+def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
+    """decode(encode(docs)), with one Python worker a task where that takes two: the ids of short texts are decoded by the worker that has them."""
+    short, long, path, pattern = _by_length(docs, path, pattern, chunk_chars, overlap_chars)
+    both = short.mapInArrow(_encoder(path, pattern, _KEY, spelled=True), "doc_id long, token_ids array<int>, content binary")
+    return both.unionByName(decode(_encode_long(long, path, pattern, chunk_chars, overlap_chars), path))
+
+
 def _encode_long(rows: DataFrame, path: str, pattern: str, core: int, overlap: int) -> DataFrame:
     chunk_schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("copies", pa.int64()), ("chunk", pa.int32()), ("core", pa.string()), ("extra", pa.string()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
 
@@ -127,11 +147,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("content", pa.binary())])
 
     def run(batches):
-        spell = _token_bytes(path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                content = [b"".join(map(spell, ids or ())) for ids in part.column(1).to_pylist()]
+                content = _spell(part.column(1).to_pylist(), path)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(schema.field(1).type), pa.array(content, pa.binary())], schema=schema)
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, token_ids array<int>, content binary")

@@ -151,5 +151,6 @@ def by_slices(work: Callable[[list[list]], dict[str, pa.Array | list]], schema:
             for part in slices(batch, text % batch.num_columns):
                 out = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in schema], schema=schema)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return run
